@@ -105,7 +105,8 @@ def multiselect(values: DataFrame, groups: Sequence[str], value: str, percents:
         raise RuntimeError("two groups share a hash; name them differently")
     v = v.select("g", "v")
     ranges = sizes.select("g", F.col("g").alias("rid"), F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"), "n", wanted.alias("want"))
-    done = ranges.filter(F.col("n") <= finish)
+    done = ranges.filter(F.col("n") <= finish)  # taken from ``v`` at the end
+    ended: list[tuple[DataFrame, DataFrame]] = []  # later ranges with their values
     open_ = keep.save(ranges.filter(F.col("n") > finish))
     found: list[DataFrame] = []
     left = open_.count()
@@ -144,22 +145,28 @@ def multiselect(values: DataFrame, groups: Sequence[str], value: str, percents:
         s = keep.save(s.select("g", "p", at.alias("at"), F.filter(split, lambda x: F.size(x["want"]) > 0).alias("split")))
         found.append(s.select("g", F.explode("at").alias("x"), "p").select("g", "x.pct", F.col("p").alias("value")))
         nxt = s.select("g", F.explode("split").alias("x")).select("g", F.xxhash64("g", "x.lo", "x.hi", F.lit(no)).alias("rid"), "x.lo", "x.hi", "x.n", "x.want")
-        done = done.unionByName(nxt.filter(F.col("n") <= finish))
+        # the values of a range that ends here are saved now: later rewrites of ``rows`` hold open ranges only
+        ends = keep.save(nxt.filter(F.col("n") <= finish))
+        n_ends = ends.count()
+        if n_ends:
+            ended.append((ends, keep.save(_in_range(rows, ends.select("g", "rid", "lo", "hi"), n_ends <= broadcast_ranges).select("rid", "v"))))
         old, open_ = open_, keep.save(nxt.filter(F.col("n") > finish))
-        keep.drop(pivoted)
+        keep.drop(pivoted, old)
         left = open_.count()
     if left:
         raise RuntimeError("multi-select did not end")
     # final step: at most ``finish`` values a range
-    small = done.filter(F.col("lo") == -INF).filter(F.col("hi") == INF)
-    rest = done.filter((F.col("lo") != -INF) | (F.col("hi") != INF))
-    few = rest.count() <= broadcast_ranges if found else True
-    tiny = v.join(small.select("g"), "g", "left_semi").select(F.col("g").alias("rid"), "v")
-    last = tiny if rows is None else tiny.unionByName(_in_range(rows, rest.select("g", "rid", "lo", "hi"), few).select("rid", "v"))
+    last = v.join(done.select("g"), "g", "left_semi").select(F.col("g").alias("rid"), "v")
+    for ends, vals in ended:
+        done, last = done.unionByName(ends), last.unionByName(vals)
     held_values = last.groupBy("rid").agg(F.sort_array(F.collect_list("v")).alias("vs"))
     end = done.join(held_values, "rid").select("g", F.explode("want").alias("x"), "vs").select("g", "x.pct", F.element_at("vs", F.col("x.k").cast("int")).alias("value"))
     for f in found:
         end = end.unionByName(f)
+    end = keep.save(end)
+    n_want, n_got = sizes.count() * len(percents), end.filter(F.col("value").isNotNull()).select("g", "pct").distinct().count()
+    if n_got != n_want:
+        raise RuntimeError(f"multi-select lost {n_want - n_got} of {n_want} percentiles")
     return sizes.join(end, "g").select(*gs, F.col("pct").cast("int").alias("pct"), "value", "n", F.call_function("div", F.col("n") * F.col("pct") + 99, F.lit(100).cast("long")).alias("rank"))
 
 

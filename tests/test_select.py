@@ -1,0 +1,18 @@
+import math
+
+import numpy as np
+
+from ephysloom.llm.select import multiselect
+
+PERCENTS = (1, 5, 25, 50, 75, 95, 99)
+
+
+def test_unequal_groups_keep_every_percentile(spark):
+    """Small large-groups end early and must survive the later rewrites."""
+    rng = np.random.default_rng(3)
+    sizes = {"a": 40_000, "b": 25_000, "c": 10_000, "d": 6_000, "e": 700, "f": 1}
+    rows = {g: rng.normal(size=n).round(4).tolist() for g, n in sizes.items()}
+    df = spark.createDataFrame([(g, v) for g, vs in rows.items() for v in vs], "name string, v double").repartition(6)
+    got = {(r.name, r.pct): r.value for r in multiselect(df, ["name"], "v", PERCENTS, finish=2_000).collect()}
+    want = {(g, p): sorted(vs)[max(1, math.ceil(len(vs) * p / 100)) - 1] for g, vs in rows.items() for p in PERCENTS}
+    assert got == want
