@@ -1,4 +1,4 @@
-"""Percentiles, containers, leaks and text quality over the whole tables."""
+"""Splits, percentiles, containers, leaks and text quality over the whole tables."""
 
 from __future__ import annotations
 
@@ -9,7 +9,50 @@ from pyspark.sql import functions as F
 from ..functions.keys import entity_key, entity_key_sql
 from ..plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from ..session import Scratch, table
-from . import leakage, packing, quality, select
+from . import leakage, packing, quality, select, splits
+
+# ------------------------------------------------------------ 3: splits
+
+SHARES = (("train", 0.8), ("validation", 0.1), ("test", 0.1))
+
+
+def _patient_roots(spark, sf, keep):
+    """Roster with key, and the component of every patient key."""
+    p, m = table(spark, sf, "patients"), table(spark, sf, "name_match_unmatched_recorded")
+    key = lambda c: F.nullif(entity_key(F.col(c)), F.lit(""))
+    roster = p.select("patient_no", "patient_id", key("patient_id").alias("node"), key("prior_patient_id").alias("prior")).distinct()
+    used = keep.save(m.select(key("patient_id").alias("node"), "source_file").distinct())
+    links = roster.select(F.col("node").alias("a"), F.col("prior").alias("b")).unionByName(splits.star_links(used, "node", "source_file"))
+    return roster, splits.components(roster.select("node").unionByName(used.select("node")), links, keep)
+
+
+@query("p3_found")
+def p3_found(spark, sf):
+    """Pairs of roster patients that must share a split."""
+    roster, roots = _patient_roots(spark, sf, Scratch(spark))
+    r = roster.select("patient_id", "node").distinct().join(roots, "node").select("patient_id", "root")
+    a, b = r.select("root", F.col("patient_id").alias("patient_a")), r.select("root", F.col("patient_id").alias("patient_b"))
+    return a.join(b, "root").filter("patient_a < patient_b").select("patient_a", "patient_b").distinct()
+
+
+@query("p3_splits")
+def p3_splits(spark, sf):
+    """Split of every record; records without a patient are dealt one by one."""
+    keep = Scratch(spark)
+    roster, roots = _patient_roots(spark, sf, keep)
+    m = table(spark, sf, "name_match_unmatched_recorded").select(F.col("rec_id").cast("string").alias("record"), F.nullif(entity_key(F.col("patient_id")), F.lit("")).alias("node"), "source_file")
+    # a record whose patient is blank goes with the other records of its file
+    by_file = m.dropna(subset=["source_file"]).groupBy("source_file").agg(F.min("node").alias("other"))
+    m = m.join(by_file, "source_file", "left").select("record", F.coalesce("node", "other", F.concat(F.lit("file "), "source_file")).alias("node"))
+    number = roster.filter("node is not null").groupBy("patient_no").agg(F.min("node").alias("node"))
+    c = table(spark, sf, "cluster_patients").select(F.concat_ws("/", "run_id", "cluster_no").alias("record"), F.col("top_patient").alias("patient_no"))
+    c = c.join(number, "patient_no", "left").select("record", F.coalesce("node", F.concat(F.lit("no "), F.col("patient_no").cast("string"))).alias("node"))
+    t = m.withColumn("source_table", F.lit("name_match_unmatched_recorded")).unionByName(c.withColumn("source_table", F.lit("cluster_patients"))).distinct()
+    t = t.join(roots, "node", "left").select("source_table", "record", F.coalesce("root", "node", F.concat_ws(" ", F.lit("record"), "source_table", "record")).alias("root"))
+    t = keep.save(t)
+    dealt = splits.deal(t.groupBy("root").agg(F.count(F.lit(1)).alias("n")), SHARES)
+    return t.join(dealt, "root").select("source_table", "record", "root", "split")
+
 
 # ------------------------------------------------------- 5: percentiles
 

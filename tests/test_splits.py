@@ -1,0 +1,26 @@
+from ephysloom.llm import splits
+from ephysloom.session import Scratch
+
+
+def test_components_of_a_chain_a_star_and_a_single(spark):
+    chain = [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(40)]
+    links = spark.createDataFrame([*chain, ("s1", "s2"), ("s3", "s2"), ("s2", "s2"), (None, "s1")], "a string, b string")
+    nodes = spark.createDataFrame([("lone",)], "node string")
+    got = {r.node: r.root for r in splits.components(nodes, links, Scratch(spark)).collect()}
+    assert len(got) == 41 + 3 + 1
+    roots = [{got[n] for n in got if n[0] == x} for x in "csl"]
+    assert [len(r) for r in roots] == [1, 1, 1] and len(set.union(*roots)) == 3
+    assert got["lone"] == "lone"
+
+
+def test_files_link_their_patients(spark):
+    used = spark.createDataFrame([("x", "f"), ("y", "f"), ("z", None), ("y", "g"), ("w", "g")], "node string, f string")
+    assert {tuple(r) for r in splits.star_links(used, "node", "f").collect()} == {("x", "y"), ("w", "y")}
+
+
+def test_deal_keeps_the_shares(spark):
+    sizes = spark.createDataFrame([(f"r{i}", 1 + i % 7) for i in range(2000)], "root string, n long")
+    d = splits.deal(sizes, [("train", 0.8), ("validation", 0.1), ("test", 0.1)])
+    n = {r.split: r.n for r in sizes.join(d, "root").groupBy("split").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    total = sum(n.values())
+    assert abs(n["train"] / total - 0.8) < 0.02 and abs(n["test"] / total - 0.1) < 0.02
