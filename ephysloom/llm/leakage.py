@@ -5,8 +5,11 @@ random walks (a walk copies the word under its pointer and advances by a random
 bit of that word, so a small edit distance becomes a small Hamming distance);
 each of ``repeats`` walks keeps a few sampled coordinates as a key, and equal
 keys between document and item windows make a candidate.  Windows that share
-fewer than ``least_shared`` words with the items' vocabulary are left out first:
-no window with that many foreign words can belong to a passage.
+fewer than ``least_shared`` words with the items' vocabulary are left out first.
+It follows from the verification: a dense passage keeps at least ``COST / (1 +
+COST)`` of its words, and a piece may be only ``least_piece`` words amid foreign
+text; the smaller count is taken.  The search itself is by sampling; its recall
+against alignment with every item is in the README.
 
 Verification is exact: local word alignments of the whole document with the
 whole item (edits cost more than matches earn, so that only dense passages
@@ -52,6 +55,10 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(t.lower())
 
 
+#: What a word exchanged, added or dropped costs where a match earns 1.
+COST = 1.25
+
+
 class Vocabulary:
     """Item words by number; document words by their closest item word."""
 
@@ -105,7 +112,9 @@ class Vocabulary:
 class Leaks:
     """One block of items, indexed."""
 
-    def __init__(self, items: list[tuple[int, str | None]], window: int = 10, repeats: int = 8, samples: int = 6, least_shared: int = 8, least_words: int = 16, least_piece: int = 5, seed: int = 7):
+    def __init__(self, items: list[tuple[int, str | None]], window: int = 10, repeats: int = 8, samples: int = 6, least_shared: int | None = None, least_words: int = 16, least_piece: int = 5, seed: int = 7):
+        if least_shared is None:
+            least_shared = min(-int(-window * COST // (1 + COST)), least_piece)
         self.window, self.repeats, self.least_shared = window, repeats, least_shared
         self.least_words, self.least_piece = least_words, least_piece
         texts = [words(t) for _, t in items]
@@ -186,6 +195,23 @@ class Leaks:
             free[p[0][1] : p[-1][1] + 1] = 0
         return chain(pieces)
 
+    def dense(self, doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The doc without the words no piece of the item can reach.
+
+        Inside a piece the item's words outweigh the others; a stretch where
+        they do but number fewer than ``least_piece`` holds none.  What is left
+        stays too far apart for an alignment to cross.
+        """
+        hit = np.isin(doc, item)
+        c = np.concatenate([[0.0], np.cumsum(np.where(hit, 1.0, -COST))])
+        ahead = np.maximum.accumulate(c[:0:-1])[::-1]  # best sum ending at or after each word
+        keep = ahead - np.minimum.accumulate(c[:-1]) > 1e-9
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], keep.astype(np.int8), [0]])))
+        gap = np.zeros(int(len(item) / COST) + 2, doc.dtype)
+        n = np.concatenate([[0], np.cumsum(hit)])
+        runs = [x for a, b in zip(edge[::2], edge[1::2], strict=True) if n[b] - n[a] >= self.least_piece for x in (doc[a:b], gap)]
+        return np.concatenate(runs) if runs else gap
+
     def leaks(self, docs: list[np.ndarray]) -> list[list[tuple[int, int]]]:
         """Per document (item id, matched words) of the items it leaks."""
         out = []
@@ -200,14 +226,18 @@ class Leaks:
                 k = np.bincount(doc, minlength=len(self.vocab) + 1)
                 if np.minimum(m, k)[1:].sum() < self.least_words:
                     continue
-                score = self.matched(doc, item)
+                near = self.dense(doc, item)
+                k = np.bincount(near, minlength=len(self.vocab) + 1)
+                if np.minimum(m, k)[1:].sum() < self.least_words:
+                    continue
+                score = self.matched(near, item)
                 if score >= self.least_words:
                     got.append((self.item_ids[n], score))
             out.append(got)
         return out
 
 
-def align(item: np.ndarray, doc: np.ndarray, cost: float = 1.25) -> list[tuple[int, int]] | None:
+def align(item: np.ndarray, doc: np.ndarray, cost: float = COST) -> list[tuple[int, int]] | None:
     """The best local alignment's matches (item position, doc position).
 
     A match earns 1, a word exchanged, added or dropped costs ``cost``.

@@ -1,0 +1,34 @@
+import numpy as np
+import pytest
+
+from ephysloom.llm.leakage import Leaks
+
+WORDS = [f"{a}{b}{c}x" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+
+
+def _doc(passage):
+    return np.concatenate([np.zeros(30, np.int32), passage, np.zeros(30, np.int32)])
+
+
+@pytest.mark.parametrize("kind", ["every third exchanged", "pieces of seven"])
+def test_thin_passages_are_found(kind):
+    rng = np.random.default_rng(5)
+    found = Leaks([(n, " ".join(rng.permutation(WORDS)[:60])) for n in range(20)])
+    for n, item in enumerate(found.items):
+        p = item[10:40].copy()
+        if kind == "every third exchanged":
+            p[2::3] = 0
+        else:
+            p = np.concatenate([np.append(p[k : k + 7], np.zeros(8, np.int32)) for k in range(0, 28, 7)])
+        assert n in {i for i, _ in found.leaks([_doc(p)])[0]}
+
+
+def test_dense_part_matches_as_many_words():
+    rng = np.random.default_rng(6)
+    found = Leaks([(0, " ".join(WORDS[:60]))])
+    item = found.items[0]
+    for _ in range(50):
+        a = item[5:35].copy()
+        a[rng.random(30) < 0.25] = 0
+        doc = np.concatenate([rng.choice(np.append(item, np.zeros(150, np.int32)), 200), a, rng.choice(np.append(item, np.zeros(150, np.int32)), 200)]).astype(np.int32)
+        assert found.matched(found.dense(doc, item), item) >= found.matched(doc, item)
