@@ -4,11 +4,11 @@
 prose, list, table or junk with a hidden Markov model over discrete line
 statistics and adds up the labels' characters per document.
 
-The model is trained here, on a bounded sample of documents (``sample_docs``,
-chosen by a hash of the id): a table of word-order statistics (how much more
-often one function word, content word or mark follows another than by chance),
-and the states' emission and transition frequencies, counted over the sample's
-lines that plain rules can label and smoothed towards those rules.  Labelling
+The model is trained here: a table of word-order statistics (how much more often
+one function word, content word or mark follows another than by chance), counted
+over all lines of all documents, and the states' emission and transition
+frequencies, counted over the lines of a bounded sample (``sample_docs``, chosen
+by a hash of the id) that plain rules can label and smoothed towards those rules.  Labelling
 then covers every document whole, map-only: no shuffle, so no skew.
 
 Defined results: a null text has no row in ``label_shares``; an empty or blank
@@ -310,11 +310,11 @@ class LineModel:
 
 
 def train(docs: DataFrame, common: dict[str, set[str]], doc_id: str = "doc_id", text: str = "text", sample_docs: int = 4000, lines_per_doc: int = 400) -> LineModel:
-    """Fit on about ``sample_docs`` documents (at most ``lines_per_doc`` lines of
-    each), chosen by a hash of the id: the bound of the training sample."""
+    """Word order over all documents; line frequencies over about ``sample_docs``
+    of them (at most ``lines_per_doc`` lines of each), chosen by a hash of the id."""
     src = docs.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text")).filter(F.col(text).isNotNull())
     every = max(1, -(-docs.count() // sample_docs))
-    part = src.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(2 * sample_docs) if every > 1 else src.limit(2 * sample_docs)
+    part = src.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0)
     plain = Order(common)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def train(docs: DataFrame, common: dict[str, set[str]], doc_id: str = "doc_id",
         for b in batches:
             for t in b.column("text").to_pylist():
                 seen: set[str] = set()
-                for line in t.split("\n")[:lines_per_doc]:
+                for line in t.split("\n"):
                     if line not in seen:  # repeated lines teach no word order
                         seen.add(line)
                         g, c = plain.classes(line)
@@ -331,7 +331,7 @@ def train(docs: DataFrame, common: dict[str, set[str]], doc_id: str = "doc_id",
         if n:
             yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in n]) for i in range(3)), pa.array(list(n.values()), pa.int64())], names=["lang", "a", "b", "n"])
 
-    counted = part.select("text").mapInArrow(pairs, "lang string, a string, b string, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
+    counted = src.select("text").mapInArrow(pairs, "lang string, a string, b string, n long").groupBy("lang", "a", "b").agg(F.sum("n").alias("n"))
     order = Order(common, {(r.lang, r.a, r.b): r.n for r in counted.collect()})  # at most (common words + 4) squared rows
 
     def symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

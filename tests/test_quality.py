@@ -1,0 +1,10 @@
+from ephysloom.llm.quality import train
+
+
+def test_word_order_is_counted_on_every_line_of_every_document(spark):
+    words = "the of and to in on at by".split()
+    texts = ["\n".join(" ".join(words[(i + j + k * (1 + j % 3)) % 8] for k in range(9)) for j in range(12)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    common = {"en": set(words)}
+    whole, sampled = train(docs, common), train(docs, common, sample_docs=5, lines_per_doc=3)
+    assert whole.order.table["en"] == sampled.order.table["en"]
