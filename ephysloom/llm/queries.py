@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import entity_key, entity_key_sql
 from ..plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from ..session import Scratch, table
-from . import leakage, packing, quality, select, splits
+from . import leakage, mapping, packing, quality, select, splits
 
 # ------------------------------------------------------------ 3: splits
 
@@ -84,6 +84,27 @@ def p5_percentiles(spark, sf):
     return select.multiselect(values, ["feature", "grouping", "key"], "v", PERCENTS).withColumn("rank_error", F.lit(0))
 
 
+# ------------------------------------------------------ 6: free entries
+
+
+def _mapped(spark, sf):
+    return mapping.map_entries(table(spark, sf, "name_match_candidates"), table(spark, sf, "shaft_reference"))
+
+
+@query("p6_found")
+def p6_found(spark, sf):
+    """The reference entry each typed electrode means, 0 for none."""
+    return _mapped(spark, sf).select("entry_id", F.col("reference_id").alias("shaft_id"))
+
+
+@query("p6_unmatched")
+def p6_unmatched(spark, sf):
+    """Typed electrodes that mean no reference entry, with the number of entries."""
+    e = table(spark, sf, "name_match_candidates").groupBy("entry_id").agg(F.min("electrode").alias("electrode"))
+    m = _mapped(spark, sf).filter("reference_id = 0").join(e, "entry_id")
+    return m.groupBy("electrode").agg(F.count(F.lit(1)).alias("n_entries"), F.round(F.max("score"), 4).alias("best_score"))
+
+
 # -------------------------------------------------------- 7: containers
 
 
