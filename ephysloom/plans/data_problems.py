@@ -16,7 +16,7 @@ def _graph(spark, sf, everything: bool):
     t = lambda n: table(spark, sf, n)
     nodes = {
         "patients": t("patients").withColumn("row_id", F.col("patient_no")),
-        "contacts": t("contacts").withColumn("row_id", F.xxhash64("patient", "name", "name_raw", "added_at", "removed_at")),
+        "contacts": t("contacts").withColumn("row_id", orphans.row_hash("patient", "name", "name_raw", "added_at", "removed_at")),
         "name_match_unmatched_recorded": t("name_match_unmatched_recorded").withColumn("row_id", F.col("rec_id")),
         "timing": t("timing").withColumn("row_id", F.col("timing_id")),
     }
@@ -29,12 +29,12 @@ def _graph(spark, sf, everything: bool):
     ]
     if everything:
         nodes["recording_segments"] = t("recording_segments").withColumn("row_id", F.col("seg_id")).withColumn("at", F.coalesce("start_ts", "acq_created"))
-        nodes["cluster_patients"] = t("cluster_patients").withColumn("row_id", F.xxhash64("run_id", "cluster_no"))
+        nodes["cluster_patients"] = t("cluster_patients").withColumn("row_id", orphans.row_hash("run_id", "cluster_no"))
         refs += [
             orphans.Ref("patient", "recording_segments", ["patient_id"], "patients", ["patient_id"], entity_key, "at", None),
             orphans.Ref("top_patient", "cluster_patients", ["top_patient"], "patients", ["patient_no"]),
         ]
-    return orphans.orphan_cascade(nodes, refs, skewed=("timing", "name_match_unmatched_recorded"))
+    return orphans.orphan_cascade(nodes, refs, None if everything else ("timing", "name_match_unmatched_recorded"))
 
 
 def _direct_sql(t: str, i: str, at: str) -> str:
@@ -54,7 +54,35 @@ def p1_found(spark, sf):
     return o.select("child_table", "row_id")
 
 
-@query("p1_orphans_by_month")
+_CASES = """
+pk as (select distinct patient_no, {pid} as key, case when {prior_given} then {prior} end as prior, enrolled_at as tm from patients),
+rp as (with recursive r(patient_no, key, tm, depth) as (
+    select patient_no, key, tm, 0 from pk where prior is not null and prior not in (select key from pk where key is not null)
+    union all select c.patient_no, c.key, c.tm, r.depth + 1 from r join pk c on c.prior = r.key) select patient_no, any_value(key) as key, max(tm) as tm, min(depth) as depth from r group by patient_no),
+o1 as (select 'patients' as child_table, 'prior_patient_id' as ref, patient_no::varchar as id, tm, case when depth = 0 then 'direct' else 'inherited' end as kind, case when depth = 0 then 'never' else 'parent' end as reason, depth from rp),
+ck as (select distinct patient, name, name_raw, added_at, removed_at, {cp} as pkey, {cn} as nkey from contacts),
+o2 as (select ck.*, case when pkey in (select key from pk where key is not null) then 'inherited' else 'direct' end as kind, case when rp.depth is null then 0 else rp.depth + 1 end as depth
+  from ck left join rp on rp.key = pkey where {cg} and (pkey not in (select key from pk where key is not null) or rp.depth is not null)),
+kids as (select distinct 'name_match_unmatched_recorded' as child_table, rec_id as id, {rk} as pkey, {re} as nkey, recorded_at as tm from name_match_unmatched_recorded where {rg}
+  union select distinct 'timing', timing_id, {rk}, {re}, computed_at from timing where {rg}),
+cs as (select ck.pkey, ck.nkey, ck.added_at as lo, ck.removed_at as hi, min(o2.depth) as depth from ck left join o2 on ck.patient is not distinct from o2.patient and ck.name is not distinct from o2.name and ck.name_raw is not distinct from o2.name_raw
+  and ck.added_at is not distinct from o2.added_at and ck.removed_at is not distinct from o2.removed_at group by all),
+f as (select child_table, id, max(tm) as tm, count(lo is null) filter (cs.pkey is not null) as n, count(*) filter (cs.pkey is not null and (lo is null or lo <= tm) and (hi is null or tm < hi)) as valid,
+  count(*) filter (cs.pkey is not null and (lo is null or lo <= tm) and (hi is null or tm < hi) and depth is null) as alive, min(depth) filter ((lo is null or lo <= tm) and (hi is null or tm < hi)) as depth,
+  count(*) filter (hi <= tm) as ended, count(*) filter (lo > tm) as begins from kids left join cs using (pkey, nkey) group by all),
+o3 as (select child_table, 'contact' as ref, tm, case when valid = 0 then 'direct' else 'inherited' end as kind, case when valid > 0 then 'parent' when n = 0 then 'never' when tm is null then 'undated' when ended > 0 and begins > 0 then 'between' when ended > 0 then 'removed' else 'later' end as reason,
+  case when valid = 0 then 0 else depth + 1 end as depth from f where alive = 0),
+sk as (select distinct on (seg_id) seg_id, {sp} as pkey, coalesce(start_ts, acq_created) as tm from recording_segments where {sg} order by seg_id, coalesce(start_ts, acq_created) desc nulls last),
+o4 as (select sk.tm as tm, case when rp.depth is null then 'direct' else 'inherited' end as kind, case when rp.depth is null then 0 else rp.depth + 1 end as depth from sk left join rp on rp.key = pkey where pkey not in (select key from pk where key is not null) or rp.depth is not null),
+o5 as (select distinct run_id, cluster_no, case when rp.depth is null then 'direct' else 'inherited' end as kind, case when rp.depth is null then 0 else rp.depth + 1 end as depth from cluster_patients left join rp on rp.patient_no = top_patient
+  where top_patient is not null and (top_patient not in (select patient_no from pk) or rp.depth is not null)),
+al as (select child_table, ref, tm, kind, reason, depth from o1 union all select 'contacts', 'patient', added_at, kind, case when kind = 'direct' then 'never' else 'parent' end, depth from o2 union all select * from o3
+  union all select 'recording_segments', 'patient', tm, kind, case when kind = 'direct' then 'never' else 'parent' end, depth from o4
+  union all select 'cluster_patients', 'top_patient', null::timestamp, kind, case when kind = 'direct' then 'never' else 'parent' end, depth from o5)
+""".format(pid=entity_key_sql("patient_id"), prior=entity_key_sql("prior_patient_id"), prior_given=given_sql("prior_patient_id"), cp=entity_key_sql("patient"), cn=entity_key_sql("name"), cg=given_sql("patient"), rk=entity_key_sql("patient_id"), re=entity_key_sql("electrode"), rg=f"{given_sql('patient_id')} and {given_sql('electrode')}", sp=entity_key_sql("patient_id"), sg=given_sql("patient_id"))
+
+
+@query("p1_orphans_by_month", f"with {_CASES} select child_table, ref, strftime(tm, '%Y-%m') as month, kind, reason, count(*) as n_rows, cast(max(depth) as int) as max_depth from al group by all")
 def p1_orphans_by_month(spark, sf):
     """Direct and inherited orphans per table, reference and month, whole graph."""
     return orphans.orphan_report(_graph(spark, sf, everything=True))
