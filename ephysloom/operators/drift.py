@@ -6,16 +6,20 @@ any size costs its distinct names only); successive files are compared; and the
 typed table is projected with every failed cast reported.
 
 Flat objects without escapes - nearly all rows - are tokenised by regular
-expressions inside the JVM, where the raw spelling of numbers is still visible.
-Only objects that are nested, escaped or malformed go through an Arrow-batched
-Python parser, which flattens nested objects to dotted paths.
+expressions inside the JVM, where the raw spelling of numbers is still visible;
+all quantifiers are possessive, so the match runs in constant stack whatever the
+number of fields.  Only objects that are nested, escaped or malformed go through
+an Arrow-batched Python parser; both ways follow the JSON grammar and give the
+same result.
 
 Defined results: a null, empty or malformed payload holds no field but its file
 still counts as a file; a field of which all values are null is an ``int``;
-nested values count under their path and arrays as text of type ``int`` only in
-the sense of the type rule (neither string, boolean nor decimal number);
-repeated lines change nothing; a name that appears twice in one object counts
-with both values, and the typed table takes the first that is not null.
+a nested object or array is one value of its name, kept as JSON text, of type
+``int`` in the sense of the type rule (neither string, boolean nor decimal
+number), and its leaves are further values under dotted paths (``depth`` above 0)
+that count as no field of the file; repeated lines change nothing; a name that
+appears twice in one object counts with both values, and the typed table takes
+the first that is not null.
 """
 
 from __future__ import annotations
@@ -28,9 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_VALUE = r'"[^"\\]*"|-?[0-9][0-9.eE+-]*|true|false|null'
-_PAIR = rf'"([^"\\]*)"\s*:\s*({_VALUE})'
-_FLAT = rf'^\s*\{{\s*(?:"[^"\\]*"\s*:\s*(?:{_VALUE})\s*(?:,\s*"[^"\\]*"\s*:\s*(?:{_VALUE})\s*)*)?\}}\s*$'
+_VALUE = r'"[^"\\\x00-\x1f]*+"|-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+|true|false|null'
+_PAIR = rf'"([^"\\\x00-\x1f]*+)"\s*+:\s*+({_VALUE})'
+_ONE = rf'"[^"\\\x00-\x1f]*+"\s*+:\s*+(?:{_VALUE})\s*+'
+_FLAT = rf"^\s*+\{{\s*+(?:{_ONE}(?:,\s*+{_ONE})*+)?+\}}\s*+$"
 
 
 def plain_name(c: Column) -> Column:
@@ -42,51 +47,74 @@ class _Number(str):
     """A JSON number in its raw spelling."""
 
 
-def flatten_json(payload: str | None) -> list[tuple[str, str | None, str]]:
-    """(path, text, raw type) of every leaf; malformed payloads have none.
+class _Pairs(list):
+    """A JSON object as its pairs, so that a name given twice is seen twice."""
 
-    Objects nest by dots; arrays are one leaf.  Raw types: text, bool, float
-    (a number written with a decimal point), int, null, array.
+
+def _plain(v) -> object:
+    """The value as Python's own types, for writing it back as text."""
+    if isinstance(v, _Pairs):
+        return {n: _plain(x) for n, x in v}
+    if isinstance(v, list):
+        return [_plain(x) for x in v]
+    if isinstance(v, _Number):
+        return float(v) if any(c in v for c in ".eE") else int(v)
+    return v
+
+
+def _refuse(text: str):
+    raise ValueError(f"{text} is no JSON number")
+
+
+def flatten_json(payload: str | None) -> list[tuple[str, str | None, str, int]]:
+    """(path, text, raw type, depth) of every value; malformed payloads have none.
+
+    Raw types: text, bool, float (a number written with a decimal point), int,
+    null, array, object.
     """
     try:
-        top = json.loads(payload or "", parse_float=_Number, parse_int=_Number, parse_constant=_Number, object_pairs_hook=list)
+        top = json.loads(payload or "", parse_float=_Number, parse_int=_Number, parse_constant=_refuse, object_pairs_hook=_Pairs)
     except (ValueError, RecursionError):
         return []
-    # objects arrive as lists of pairs, so a name given twice is seen twice
-    if not isinstance(top, list) or not (payload or "").lstrip().startswith("{"):
+    if not isinstance(top, _Pairs):
         return []
-    out: list[tuple[str, str | None, str]] = []
-    todo = [("", top)]
+    out: list[tuple[str, str | None, str, int]] = []
+    todo = [("", top, 0)]
     while todo:
-        prefix, pairs = todo.pop()
+        prefix, pairs, depth = todo.pop(0)
         for name, v in pairs:
             path = f"{prefix}{name}"
             if isinstance(v, _Number):
-                out.append((path, str(v), "float" if "." in v else "int"))
+                out.append((path, str(v), "float" if "." in v else "int", depth))
             elif isinstance(v, str):
-                out.append((path, v, "text"))
+                out.append((path, v, "text", depth))
             elif isinstance(v, bool):
-                out.append((path, "true" if v else "false", "bool"))
+                out.append((path, "true" if v else "false", "bool", depth))
             elif v is None:
-                out.append((path, None, "null"))
-            elif v and all(isinstance(x, tuple) for x in v):
-                todo.append((path + ".", v))
+                out.append((path, None, "null", depth))
             else:
-                out.append((path, json.dumps(v), "array"))
+                out.append((path, json.dumps(_plain(v)), "object" if isinstance(v, _Pairs) else "array", depth))
+                if isinstance(v, _Pairs):
+                    todo.append((path + ".", v, depth + 1))
     return out
 
 
+LEAVES = "array<struct<name:string,value:string,type:string,depth:int>>"
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("type", pa.string())]))
+    kind = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("type", pa.string()), ("depth", pa.int32())]))
     for b in batches:
-        leaves = [[{"name": n, "value": v, "type": t} for n, v, t in flatten_json(x)] for x in b.column("payload").to_pylist()]
+        leaves = [[{"name": n, "value": v, "type": t, "depth": d} for n, v, t, d in flatten_json(x)] for x in b.column("payload").to_pylist()]
         rest = [b.column(i) for i in range(b.num_columns - 1)]
         yield pa.RecordBatch.from_arrays([*rest, pa.array(leaves, kind)], names=[*b.schema.names[:-1], "leaves"])
 
 
-def path_values(df: DataFrame, keys: Sequence[str], payload: str = "payload") -> DataFrame:
-    """``*keys, leaves array<struct<name,value,type>>``, one row per input row."""
+def path_values(df: DataFrame, keys: Sequence[str], payload: str = "payload", once: bool = False) -> DataFrame:
+    """``*keys, leaves array<struct<name,value,type,depth>>``, one row per
+    input row, or with ``once`` per distinct keys and payload."""
     src = df.select(*keys, F.col(payload).alias("payload"))
+    src = src.distinct() if once else src
     src = src.withColumn("__flat", F.coalesce(F.col("payload").rlike(_FLAT), F.lit(False)))
     flat = src.filter("__flat")
     names = F.regexp_extract_all("payload", F.lit(_PAIR), F.lit(1))
@@ -96,10 +124,11 @@ def path_values(df: DataFrame, keys: Sequence[str], payload: str = "payload") ->
         n.alias("name"),
         F.when(v == "null", None).when(first(v) == '"', F.regexp_replace(v, '^"|"$', "")).otherwise(v).alias("value"),
         F.when(first(v) == '"', "text").when(v == "null", "null").when(v.isin("true", "false"), "bool").when(v.contains("."), "float").otherwise("int").alias("type"),
+        F.lit(0).alias("depth"),
     )
     flat = flat.select(*keys, F.zip_with(names, values, leaf).alias("leaves"))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-    rest = src.filter("not __flat").select(*keys, "payload").mapInArrow(_parse, f"{kind}, leaves array<struct<name:string,value:string,type:string>>")
+    rest = src.filter("not __flat").select(*keys, "payload").mapInArrow(_parse, f"{kind}, leaves {LEAVES}")
     return flat.unionByName(rest)
 
 
@@ -110,7 +139,7 @@ def field_stats(rows: DataFrame, keys: Sequence[str], known: DataFrame) -> DataF
     are grouped raw first (map-side), and only the few distinct ones normalised.
     """
     k = list(keys)
-    leaf = rows.select(*k, F.explode("leaves").alias("x")).select(*k, "x.name", "x.type")
+    leaf = rows.select(*k, F.explode("leaves").alias("x")).filter("x.depth = 0").select(*k, "x.name", "x.type")
     raw = leaf.groupBy(*k, "name").agg(
         F.max((F.col("type") == "text").cast("int")).alias("t"),
         F.max((F.col("type") == "bool").cast("int")).alias("b"),
@@ -195,7 +224,8 @@ def typed_rows(rows: DataFrame, keys: Sequence[str], known: DataFrame, fields: d
     names = known.filter(F.col("field").isin(list(fields))).select(plain_name(F.col("known_name")).alias("plain"), "field").groupBy("plain").agg(F.min("field").alias("field"))
     lookup = names.agg(F.map_from_entries(F.collect_list(F.struct("plain", "field"))).alias("__names"))
     d = rows.join(F.broadcast(lookup))
-    leaf = lambda x: F.struct(F.coalesce(F.col("__names")[plain_name(x["name"])], plain_name(x["name"])).alias("f"), x["value"].alias("v"))
+    plain = lambda x: F.when(x["depth"] == 0, plain_name(x["name"])).otherwise(F.lower(x["name"]))
+    leaf = lambda x: F.struct(F.coalesce(F.when(x["depth"] == 0, F.col("__names")[plain_name(x["name"])]), plain(x)).alias("f"), x["value"].alias("v"))
     d = d.withColumn("__l", F.filter(F.transform("leaves", leaf), lambda x: x["v"].isNotNull()))
     held = lambda name: F.get(F.filter("__l", lambda x: x["f"] == name), F.lit(0))["v"]
     raw = {f: held(f) for f in fields}

@@ -8,8 +8,11 @@ numbers: the first start in it, the last end in it, and whether some interval
 covers it whole.  Per entity and shard that is a compressed run bitmap (one
 60-bit word plus at most 60 heads and tails) whose union is min, max and bit_or
 - combined on the map side, whatever the number of rows.  Whole shards inside a
-long interval stay one run record.  Set runs are read off each shard, stitched
-across shards, and clear runs are what lies between.
+long interval stay one run record.  Set runs are read off each shard and stitched
+within blocks of shards; from block to block only the last end and the number of
+periods are carried, so no task sorts more than a block of an entity.  Clear runs
+are what lies between.  (With tolerance 0 there is no cell width; the intervals
+themselves are stitched in blocks.)
 
 Defined results: an interval without both ends, or whose end is not after its
 start, does not count; null entity values form an entity of their own; an
@@ -25,6 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CELLS = 60  # cells per shard: one bit of a long each
+SHARDS = 64  # shards per block
 
 
 def micros(c: Column) -> Column:
@@ -39,12 +43,15 @@ def latest_version(df: DataFrame, key: str, version: str, columns: Sequence[str]
 
 
 def merge_runs(df: DataFrame, entity: Sequence[str], start: str, end: str, tolerance: int = 60_000_000) -> DataFrame:
-    """Periods per entity: ``*entity, start_us, end_us`` from long columns.
+    """Periods per entity: ``*entity, start_us, end_us, prev_us`` from long
+    columns; ``prev_us`` is the end of the period before, null for the first.
 
-    ``tolerance`` (> 0, microseconds) is the widest hole that is closed.
+    ``tolerance`` (microseconds, at least 0) is the widest hole that is closed.
     """
     w, e = F.lit(tolerance), list(entity)
     d = df.filter(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start)))
+    if not tolerance:
+        return stitch(d.select(*e, F.col(start).alias("s"), F.col(end).alias("t")), e, "s", "t", 3_600_000_000 * SHARDS)
     d = d.select(*e, F.col(start).alias("s"), (F.col(end) + w).alias("t"))
     cell = lambda a: _floordiv(a, tolerance)
     d = d.withColumn("hc", cell(F.col("s"))).withColumn("tc", cell(F.col("t")))
@@ -104,7 +111,8 @@ def merge_runs(df: DataFrame, entity: Sequence[str], start: str, end: str, toler
         ).otherwise(F.concat(acc, F.array(x))),
     )
     flat = per.select(*e, F.explode(folded).alias("x")).select(*e, "x.s", "x.t")
-    return stitch(flat, e, "s", "t", 0).select(*e, F.col("start_us"), (F.col("end_us") - w).alias("end_us"))
+    out = stitch(flat, e, "s", "t", SHARDS * CELLS * tolerance)
+    return out.select(*e, "start_us", (F.col("end_us") - w).alias("end_us"), (F.col("prev_us") - w).alias("prev_us"))
 
 
 def _floordiv(c: Column, n: int) -> Column:
@@ -112,27 +120,47 @@ def _floordiv(c: Column, n: int) -> Column:
     return F.call_function("div", c - F.pmod(c, F.lit(n).cast("long")), F.lit(n).cast("long"))
 
 
-def stitch(df: DataFrame, entity: Sequence[str], start: str, end: str, tolerance: int) -> DataFrame:
-    """Merge runs that touch, by a running maximum of the ends so far.
+def stitch(df: DataFrame, entity: Sequence[str], start: str, end: str, block: int) -> DataFrame:
+    """Merge runs that touch or overlap: ``*entity, start_us, end_us, prev_us``.
 
-    After the shard unions an entity has at most 30 runs per shard of its span,
-    however many rows it had, so the window is small; it also spills.
+    A run begins a period if it starts after every end before it: the ends of its
+    own block by a running maximum, those of earlier blocks by one number carried
+    per block.  The window over an entity sees one row a block.
     """
     e = list(entity)
-    w = W.partitionBy(*e).orderBy(F.col(start), F.col(end))
-    before = F.max(end).over(w.rowsBetween(W.unboundedPreceding, -1))
-    d = df.withColumn("__new", F.when(before.isNull() | (F.col(start) > before + F.lit(tolerance)), 1).otherwise(0))
-    d = d.withColumn("__no", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return d.groupBy(*e, "__no").agg(F.min(start).alias("start_us"), F.max(end).alias("end_us")).drop("__no")
+    keys = [F.col(c).alias(f"__e{i}") for i, c in enumerate(e)]
+    names = [f"__e{i}" for i in range(len(e))]
+    d = df.select(*keys, F.col(start).alias("s"), F.col(end).alias("t"), _floordiv(F.col(start), block).alias("__b"))
+
+    def per_block(x: DataFrame, *aggs) -> DataFrame:
+        g = x.groupBy(*names, "__b").agg(*aggs)
+        return g.select(*[F.col(n).alias(f"r{n}") for n in [*names, "__b"]], *[F.col(c) for c in g.columns if c not in (*names, "__b")])
+
+    def on(*cols):
+        c = F.lit(True)
+        for n in cols:
+            c = c & F.col(n).eqNullSafe(F.col(f"r{n}"))
+        return c
+
+    rw = W.partitionBy(*[f"r{n}" for n in names]).orderBy("r__b").rowsBetween(W.unboundedPreceding, -1)
+    ends = per_block(d, F.max("t").alias("__t")).withColumn("__carry", F.max("__t").over(rw)).drop("__t")
+    d = d.join(ends, on(*names, "__b")).select(*names, "s", "t", "__b", "__carry")
+    bw = W.partitionBy(*names, "__b").orderBy("s", "t")
+    before = F.greatest(F.max("t").over(bw.rowsBetween(W.unboundedPreceding, -1)), F.col("__carry"))
+    d = d.withColumn("__before", before).withColumn("__new", (F.col("__before").isNull() | (F.col("s") > F.col("__before"))).cast("long"))
+    made = per_block(d, F.sum("__new").alias("__n")).withColumn("__from", F.coalesce(F.sum("__n").over(rw), F.lit(0))).drop("__n")
+    d = d.join(made, on(*names, "__b"))
+    d = d.withColumn("__no", F.col("__from") + F.sum("__new").over(bw.rowsBetween(W.unboundedPreceding, 0)))
+    p = d.groupBy(*names, "__no").agg(F.min("s").alias("start_us"), F.max("t").alias("end_us"), F.max(F.when(F.col("__new") == 1, F.col("__before"))).alias("prev_us"))
+    return p.select(*[F.col(f"__e{i}").alias(c) for i, c in enumerate(e)], "start_us", "end_us", "prev_us")
 
 
 def periods_and_gaps(periods: DataFrame, entity: Sequence[str]) -> DataFrame:
-    """Set and clear runs: ``*entity, kind, start_us, end_us``."""
-    e = list(entity)
-    w = W.partitionBy(*e).orderBy("start_us")
-    d = periods.withColumn("__prev", F.lag("end_us").over(w))
+    """Set and clear runs: ``*entity, kind, start_us, end_us``; no shuffle, each
+    period knows the end before it."""
     both = F.array(
         F.struct(F.lit("period").alias("kind"), F.col("start_us").alias("start_us"), F.col("end_us").alias("end_us")),
-        F.struct(F.when(F.col("__prev").isNotNull(), F.lit("gap")).alias("kind"), F.col("__prev").alias("start_us"), F.col("start_us").alias("end_us")),
+        F.struct(F.when(F.col("prev_us").isNotNull(), F.lit("gap")).alias("kind"), F.col("prev_us").alias("start_us"), F.col("start_us").alias("end_us")),
     )
-    return d.select(*e, F.explode(both).alias("x")).select(*e, "x.*").filter(F.col("kind").isNotNull())
+    e = list(entity)
+    return periods.select(*e, F.explode(both).alias("x")).select(*e, "x.*").filter(F.col("kind").isNotNull())

@@ -184,20 +184,42 @@ def p4_found(spark, sf):
     return _p4_changes(spark, sf).select(F.col("file").alias("file_id"), "field", "change").distinct()
 
 
-@query("p4_trials")
+_TYPED = """
+u as (select distinct series_id, file_id, line_no, payload from trial_raw),
+n as (select series_id, file_id, line_no, payload, unnest(json_keys(payload)) as name, generate_subscripts(json_keys(payload), 1) as pos from u),
+v as (select *, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') as plain, json_extract_string(payload, '$."' || name || '"') as val from n),
+kn as (select regexp_replace(lower(known_name), '[^a-z0-9]', '', 'g') as plain, min(field) as known from trial_field_names where field in ({fields}) group by all),
+w as (select series_id, file_id, line_no, payload, coalesce(known, v.plain) as f, arg_min(val, pos) as val from v left join kn using (plain) where val is not null group by all),
+c as (select *, trim(regexp_replace(val, '\\s*[A-Za-zµ]+\\s*$', '')) as t0 from w),
+d as (select *, regexp_replace(case when regexp_matches(t0, '^-?\\d{{1,3}}(,\\d{{3}})+$') then replace(t0, ',', '') else t0 end, '\\.0*$', '') as tl, case when regexp_matches(t0, '^-?\\d+,\\d+$') then replace(t0, ',', '.') else t0 end as td from c),
+e as (select *, case when regexp_matches(tl, '^-?\\d{{1,18}}$') then cast(tl as bigint) end as l, case when regexp_matches(td, '^-?\\d+(\\.\\d*)?([eE][+-]?\\d+)?$') then cast(td as double) end as g from d),
+ty as (select u.series_id, u.file_id, u.line_no, u.payload, {casts},
+  coalesce('{{' || string_agg(case when f not in ({fields}) then '"' || f || '":"' || val || '"' end, ',' order by f) || '}}', '{{}}') as extra, {failed} as failed
+  from u left join e using (series_id, file_id, line_no, payload) group by all),
+tr as (select distinct series_id, file_id, line_no, {names}, extra, failed from ty)
+""".format(
+    fields=", ".join(f"'{f}'" for f in TRIAL_FIELDS),
+    casts=", ".join(f"max({dict(long='l', double='g', string='val')[t]}) filter (f = '{f}') as {f}" for f, t in TRIAL_FIELDS.items()),
+    names=", ".join(TRIAL_FIELDS),
+    failed="concat_ws('; ', " + ", ".join(f"max(case when f = '{f}' and {dict(long='l', double='g', string='val')[t]} is null then '{f}=' || val end)" for f, t in TRIAL_FIELDS.items()) + ")",
+)
+
+
+def _typed(spark, sf):
+    t, known = table(spark, sf, "trial_raw"), table(spark, sf, "trial_field_names")
+    keys = ["series_id", "file_id", "line_no"]
+    return drift.typed_rows(drift.path_values(t, keys, once=True), keys, known, TRIAL_FIELDS)
+
+
+@query("p4_trials", f"with {_TYPED} select * from tr")
 def p4_trials(spark, sf):
     """One table of trials: canonical typed fields, other names, failed casts."""
-    t, known = table(spark, sf, "trial_raw"), table(spark, sf, "trial_field_names")
-    rows = drift.path_values(t, ["series_id", "file_id", "line_no"])
-    out = drift.typed_rows(rows, ["series_id", "file_id", "line_no"], known, TRIAL_FIELDS)
-    return out.withColumn("failed", F.array_join("failed", "; ")).distinct()
+    return _typed(spark, sf).withColumn("failed", F.array_join("failed", "; ")).distinct()
 
 
-@query("p4_cast_failures")
+@query("p4_cast_failures", f"with {_TYPED}, x as (select series_id, file_id, unnest(string_split(failed, '; ')) as x from tr where failed <> '') select series_id, file_id, split_part(x, '=', 1) as field, count(*) as n_failed, min(x) as example from x group by all")
 def p4_cast_failures(spark, sf):
     """Failed casts per series, file and field."""
-    t, known = table(spark, sf, "trial_raw"), table(spark, sf, "trial_field_names")
-    rows = drift.path_values(t, ["series_id", "file_id", "line_no"])
-    out = drift.typed_rows(rows, ["series_id", "file_id", "line_no"], known, TRIAL_FIELDS).distinct()
-    f = out.select("series_id", "file_id", F.explode("failed").alias("x"))
+    f = _typed(spark, sf).withColumn("failed", F.array_join("failed", "; ")).distinct()
+    f = f.select("series_id", "file_id", F.explode(F.split("failed", "; ")).alias("x")).filter("x <> ''")
     return f.groupBy("series_id", "file_id", F.substring_index("x", "=", 1).alias("field")).agg(F.count(F.lit(1)).alias("n_failed"), F.min("x").alias("example"))

@@ -34,14 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share: ``spark.checkpoint.dir`` where the session
-    names one, else the context's checkpoint folder, else (single node only) a
-    temporary folder that is then also set as checkpoint folder."""
+    names one, else the context's checkpoint folder, else (on a local master
+    alone) a temporary folder that is then also set as checkpoint folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="ephysloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -64,7 +66,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self._n = 0
-        self._path: dict[int, str] = {}
         atexit.register(self.close)
 
     def save(self, df: DataFrame) -> DataFrame:
@@ -72,14 +73,14 @@ class Scratch:
         path = f"{self.root}/{self._n:04d}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._path[id(out)] = path
+        out._scratch_path = path
         out._scratch = self  # keeps the owner alive as long as the table
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
         for t in tables:
-            path = self._path.pop(id(t), None) if t is not None else None
-            if path:
+            path = getattr(t, "_scratch_path", None)
+            if path and path.startswith(self.root):
                 _delete(self.spark, path)
 
     def close(self) -> None:
