@@ -98,7 +98,7 @@ def _over(a: Column, n: float) -> Column:
 def block_means(a: Column, size: int) -> Column:
     """Means of consecutive blocks of ``size``; the last may be shorter."""
     n = F.ceil(F.size(a) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: mean(F.slice(a, i * size + 1, F.lit(size))))
+    return F.transform(F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1))), F.lit(1), n), lambda i: mean(F.slice(a, i * size + 1, F.lit(size))))
 
 
 def argmax(a: Column) -> Column:
@@ -112,7 +112,7 @@ def argmin(a: Column) -> Column:
 
 def roll(a: Column, by: int | Column) -> Column:
     """Circular shift to the right."""
-    k = F.pmod(by if isinstance(by, Column) else F.lit(by), F.size(a))
+    k = F.pmod(by if isinstance(by, Column) else F.lit(by), F.greatest(F.size(a), F.lit(1)))
     return F.when(k == 0, a).otherwise(F.concat(F.slice(a, F.size(a) - k + 1, k), F.slice(a, F.lit(1), F.size(a) - k)))
 
 
@@ -132,7 +132,8 @@ def axis(n: int | Column, lo: float, hi: float) -> Column:
 
 
 def trapezoid(y: Column, step: float) -> Column:
-    up, low = F.slice(y, F.lit(2), F.size(y) - 1), F.slice(y, F.lit(1), F.size(y) - 1)
+    n = F.greatest(F.size(y) - 1, F.lit(0))
+    up, low = F.slice(y, F.lit(2), n), F.slice(y, F.lit(1), n)
     return total(F.zip_with(up, low, lambda a, b: (a + b) / 2 * step))
 
 

@@ -6,4 +6,4 @@ from .registry import ORACLES, QUERIES, query  # noqa: F401
 
 def load() -> None:
     """Import every module that registers queries."""
-    from . import clusters, data_problems, maps, names, trains, trials  # noqa: F401
+    from . import clusters, data_problems, maps, models, names, trains, trials  # noqa: F401
