@@ -1 +1 @@
-
+"""Readers of text tables and recordings, sinks and run registries."""
