@@ -115,20 +115,25 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
     return np.array(runs, np.int64).reshape(-1, 4), made
 
 
-def pack(items: DataFrame, capacity: int = 2048, buckets: int = 64) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, rows_per_bucket: int = 200_000) -> DataFrame:
     """``doc_id, piece_no, token_from, n_tokens, container_id`` from
-    ``doc_id, n_tokens``."""
+    ``doc_id, n_tokens``.
+
+    The buckets are as many as the rows ask for, so no task ranks more than about
+    ``rows_per_bucket`` pieces of one length, however many share it.
+    """
     keep = Scratch(items.sparkSession)
     cap = F.lit(capacity).cast("long")
     n = F.coalesce(F.col("n_tokens"), F.lit(0))
-    whole = F.call_function("div", n, cap)
     pieces = F.greatest(F.ceil(n / cap).cast("long"), F.lit(1))
     p = items.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece_no"))
-    p = p.select("doc_id", "piece_no", (F.col("piece_no") * cap).alias("token_from"), F.least(cap, F.col("n") - F.col("piece_no") * cap).alias("n_tokens"))
-    p = keep.save(p.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)).cast("int")))
-    counts = keep.save(p.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("c")))  # at most capacity x buckets rows
-    histogram = {r.n_tokens: r.c for r in counts.groupBy("n_tokens").agg(F.sum("c").alias("c")).collect()}  # at most capacity + 1 rows
+    p = keep.save(p.select("doc_id", "piece_no", (F.col("piece_no") * cap).alias("token_from"), F.least(cap, F.col("n") - F.col("piece_no") * cap).alias("n_tokens")))
+    sizes = p.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).collect()  # at most capacity + 1 rows
+    histogram = {r.n_tokens: r.c for r in sizes}
     runs, _ = plan(histogram, capacity)
+    buckets = max(16, -(-max(histogram.values(), default=0) // rows_per_bucket))
+    p = p.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(buckets)).cast("int"))
+    counts = p.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("c"))  # at most capacity x buckets rows
     w = W.partitionBy("n_tokens").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     offset = counts.select("n_tokens", "bucket", F.coalesce(F.sum("c").over(w), F.lit(0)).alias("before"))
     within = F.row_number().over(W.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece_no")) - 1

@@ -26,7 +26,17 @@ def _patient_roots(spark, sf, keep):
     return roster, splits.components(roster.select("node").unionByName(used.select("node")), links, keep)
 
 
-@query("p3_found")
+_P3 = f"""
+with recursive pk as (select distinct patient_id, {entity_key_sql("patient_id")} as k, nullif({entity_key_sql("prior_patient_id")}, '') as p from patients),
+u as (select distinct nullif({entity_key_sql("patient_id")}, '') as k, source_file from name_match_unmatched_recorded where source_file is not null and nullif({entity_key_sql("patient_id")}, '') is not null),
+e as (select k as a, p as b from pk where p is not null and k <> '' union select x.k, y.k from (select source_file, min(k) as k from u group by all) x join u y using (source_file)),
+b as (select a, b from e where a <> b union select b, a from e where a <> b),
+r(a, b) as (select a, b from b union select r.a, b.b from r join b on b.a = r.b)
+select distinct x.patient_id as patient_a, y.patient_id as patient_b from pk x join pk y on x.patient_id < y.patient_id where x.k = y.k or exists (select 1 from r where r.a = x.k and r.b = y.k)
+"""
+
+
+@query("p3_found", _P3)
 def p3_found(spark, sf):
     """Pairs of roster patients that must share a split."""
     roster, roots = _patient_roots(spark, sf, Scratch(spark))
@@ -84,6 +94,24 @@ def p5_percentiles(spark, sf):
     return select.multiselect(values, ["feature", "grouping", "key"], "v", PERCENTS).withColumn("rank_error", F.lit(0))
 
 
+DAY_GRID = tuple(range(2, 101, 2))
+
+
+@query("p5_from_days")
+def p5_from_days(spark, sf):
+    """The percentiles per condition merged from summaries of separate run_days,
+    with their rank error bound and the exact value beside them."""
+    keep = Scratch(spark)
+    t = table(spark, sf, "timing").select("timing_id", "condition_name", "run_day", *FEATURES).dropDuplicates(["timing_id"])
+    each = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in FEATURES]
+    v = keep.save(t.select("condition_name", "run_day", F.explode(F.array(*each)).alias("x")).select("condition_name", "run_day", "x.*"))
+    days = select.multiselect(v, ["feature", "condition_name", "run_day"], "v", DAY_GRID)
+    merged = select.combine(keep.save(days), ["feature", "condition_name"], ["run_day"], PERCENTS, DAY_GRID)
+    exact = select.multiselect(v, ["feature", "condition_name"], "v", PERCENTS).select(F.col("feature").alias("f"), F.col("condition_name").alias("c"), F.col("pct").alias("p"), F.col("value").alias("exact"))
+    same = (F.col("feature") == F.col("f")) & F.col("condition_name").eqNullSafe(F.col("c")) & (F.col("pct") == F.col("p"))
+    return merged.join(exact, same).select("feature", "condition_name", "pct", "value", "exact", "n", "error")
+
+
 # ------------------------------------------------------ 6: free entries
 
 
@@ -150,6 +178,21 @@ def p9_found(spark, sf):
     return shares.filter(quality.not_prose(shares)).select("doc_id").distinct()
 
 
+_P9 = r"""
+with c as (select distinct word from common_words), w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '\p{L}+') as ws, list_filter(string_split(coalesce(text, ''), chr(10)), x -> trim(regexp_replace(x, '\s', ' ', 'g')) <> '') as ls from documents)
+select doc_id, cast(len(ws) as bigint) as n_words, round(length(regexp_replace(t, '\P{L}', '', 'g')) / nullif(len(ws), 0), 6) as mean_word_len, round(length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) / nullif(length(t), 0), 6) as symbol_share,
+  round(len(list_filter(ls, x -> regexp_matches(x, '[.!?…]\s*$'))) / nullif(len(ls), 0), 6) as punct_line_share, round(len(list_filter(ws, x -> list_contains((select list(word) from c), lower(x)))) / nullif(len(ws), 0), 6) as common_share from w
+"""
+
+
+@query("p9_statistics", _P9)
+def p9_statistics(spark, sf):
+    """The five statistics of every document."""
+    words = sorted({r.word for r in table(spark, sf, "common_words").select("word").distinct().collect()})  # a fixed table
+    s = quality.text_stats(table(spark, sf, "documents"), words)
+    return s.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("mean_word_len", "symbol_share", "punct_line_share", "common_share")])
+
+
 @query("p9_quality")
 def p9_quality(spark, sf):
     """Statistics of every document, its shares by kind of line, and the verdict."""

@@ -83,7 +83,7 @@ def _in_range(rows: DataFrame, ranges: DataFrame, few: bool, salts: int = 64) ->
     if few:
         r = F.broadcast(r)
     else:
-        rows = rows.withColumn("__s", F.pmod(F.hash("v"), F.lit(salts)))
+        rows = rows.withColumn("__s", (F.rand(11) * salts).cast("int"))  # by row: equal values must not share a salt
         r = r.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         on = (rows["g"] == r["g"]) & (rows["__s"] == r["__s"])
     return rows.join(r, on & (rows["v"] > r["lo"]) & (rows["v"] < r["hi"])).drop(r["g"])
@@ -93,11 +93,11 @@ def multiselect(values: DataFrame, groups: Sequence[str], value: str, percents:
     """``*groups, pct, value, n, rank`` for whole percents of each group."""
     spark = values.sparkSession
     keep = Scratch(spark)
-    gs = list(groups)
-    v = values.select(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in gs]).alias("g"), *gs, F.col(value).cast("double").alias("v")).filter(finite(F.col("v")))
+    gs, ks = list(groups), [f"__k{i}" for i in range(len(groups))]  # own names, so that none clashes
+    v = values.select(F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in gs]).alias("g"), *[F.col(c).alias(k) for c, k in zip(gs, ks, strict=True)], F.col(value).cast("double").alias("v")).filter(finite(F.col("v")))
     # -0.0 and 0.0 are one value
     v = v.withColumn("v", F.col("v") + F.lit(0.0))
-    sizes = v.groupBy("g", *gs).agg(F.count(F.lit(1)).alias("n"))
+    sizes = v.groupBy("g", *ks).agg(F.count(F.lit(1)).alias("n"))
     rank = lambda p: F.greatest(F.lit(1).cast("long"), F.call_function("div", F.col("n") * F.lit(p).cast("long") + 99, F.lit(100).cast("long")))
     wanted = F.array(*[F.struct(F.lit(p).alias("pct"), rank(p).alias("k")) for p in percents])
     sizes = keep.save(sizes)
@@ -167,20 +167,28 @@ def multiselect(values: DataFrame, groups: Sequence[str], value: str, percents:
     n_want, n_got = sizes.count() * len(percents), end.filter(F.col("value").isNotNull()).select("g", "pct").distinct().count()
     if n_got != n_want:
         raise RuntimeError(f"multi-select lost {n_want - n_got} of {n_want} percentiles")
-    return sizes.join(end, "g").select(*gs, F.col("pct").cast("int").alias("pct"), "value", "n", F.call_function("div", F.col("n") * F.col("pct") + 99, F.lit(100).cast("long")).alias("rank"))
+    return sizes.join(end, "g").select(*[F.col(k).alias(c) for c, k in zip(gs, ks, strict=True)], F.col("pct").cast("int").alias("pct"), "value", "n", F.call_function("div", F.col("n") * F.col("pct") + 99, F.lit(100).cast("long")).alias("rank"))
 
 
-def combine(points: DataFrame, groups: Sequence[str], parts: Sequence[str], percents: Sequence[int]) -> DataFrame:
+def combine(points: DataFrame, groups: Sequence[str], parts: Sequence[str], percents: Sequence[int], even: Sequence[int] | None = None) -> DataFrame:
     """Merge percentile grids of separate parts (days, partitions).
 
-    ``points`` holds, per group and part, values at evenly spaced percents with
-    the part's ``n``.  A point stands for its step's share of the part; the
+    ``points`` holds, per group and part, values at the evenly spaced percents
+    ``even`` with the part's ``n``.  A point stands for its step's share of the part; the
     merged percentile is the first point with enough weight at or below it.
-    Rank error: at most one grid step of the total, given as ``error``.
+    Rank error: at most one grid step of the total, given as ``error``.  The
+    grid must be even (1, 2, ... 100 or the like), else it raises.
     """
     gs = list(groups)
-    step = points.groupBy(*gs, *parts).agg(F.count(F.lit(1)).alias("steps"), F.max("n").alias("n_part"))
-    w = points.join(step, [*gs, *parts]).select(*gs, "value", (F.col("n_part") / F.col("steps")).alias("w"), "steps")
+    if even is None or len({b - a for a, b in zip(even, even[1:], strict=False)}) > 1 or even[-1] != 100 or even[0] != even[1] - even[0]:
+        raise ValueError("points must stand at evenly spaced percents up to 100, given as ``even``")
+    ids = [*gs, *parts]
+    step = points.groupBy(*ids).agg(F.count(F.lit(1)).alias("steps"), F.max("n").alias("n_part"))
+    step = step.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(ids)], "steps", "n_part")
+    on = F.lit(True)
+    for i, c in enumerate(ids):
+        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    w = points.join(step, on).select(*gs, "value", (F.col("n_part") / F.col("steps")).alias("w"), "steps")
     w = w.groupBy(*gs, "value").agg(F.sum("w").alias("w"), F.min("steps").alias("steps"))
     per = w.groupBy(*gs).agg(F.array_sort(F.collect_list(F.struct("value", "w"))).alias("ps"), F.sum("w").alias("n"), (1.0 / F.min("steps")).alias("error"))
 

@@ -1,16 +1,21 @@
 """Splits that keep related records together.
 
 Records are linked through shared things; each thing gives star links from one
-of its records, never pairs.  ``components`` contracts the links: every node
-takes its smallest neighbour as parent (only two nodes can so name each other;
-the smaller of them stays a root), the trees so made are flattened by pointer
-jumping, links are rewritten to their roots, and links within one root fall
-away; so on until none is left.  Each round at least halves the linked nodes,
-so the rounds are logarithmic in their number, whatever the shape of the graph.
+of its records, never pairs.  ``spanning_forest`` contracts the links in the
+manner of Boruvka: every component takes its least edge (to the neighbour with
+the smallest name; only two components can so name each other, and the smaller
+of them stays a root), the trees so made are flattened by pointer jumping, links
+are rewritten to their roots, and links within one root fall away; so on until
+none is left.  Each round at least halves the linked components, so the rounds
+are logarithmic in their number, whatever the shape of the graph.  The edges
+taken are written each round, in terms of the nodes they join: together they are
+a spanning forest, from which every shared split can be explained.
 
 Components are dealt to the splits in strata of like size: within a stratum
 they are ordered by a hash, and each takes the split its place in the
-cumulated records falls into.
+cumulated records falls into.  The cumulated counts are formed within blocks of
+the hash and carried from block to block, so a stratum of any number of
+components (most are single records) is dealt in many tasks.
 
 Defined results: a null link is none; repeated links and links of a node to
 itself change nothing; a node without links is a component of its own; the
@@ -34,17 +39,22 @@ def star_links(members: DataFrame, node: str, thing: str) -> DataFrame:
     return m.join(m.groupBy("t").agg(F.min("b").alias("a")), "t").filter("a <> b").select("a", "b")
 
 
-def components(nodes: DataFrame, links: DataFrame, keep: Scratch, max_rounds: int = 100) -> DataFrame:
-    """``node, root`` of every node of ``nodes (node)`` and ``links (a, b)``."""
-    links = links.dropna().filter("a <> b")
-    both = keep.save(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+def spanning_forest(nodes: DataFrame, links: DataFrame, keep: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(``node, root`` of every node of ``nodes (node)`` and ``links (a, b)``,
+    ``a, b`` of the links taken).  Ends when no link is left, however many rounds."""
+    links = links.select("a", "b").dropna().filter("a <> b")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    both = links.select(*pair).distinct()
+    both = keep.save(both.select("a", "b", F.col("a").alias("oa"), F.col("b").alias("ob")))
     ends = both.select(F.explode(F.array("a", "b")).alias("node"))
     of = keep.save(nodes.select("node").dropna().unionByName(ends).distinct().select("node", F.col("node").alias("root")))
-    for _ in range(max_rounds):
-        if both.isEmpty():
-            return of
-        near = both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = near.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("r"), "p")
+    forest: DataFrame | None = None
+    while not both.isEmpty():
+        near = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"), "oa", "ob"))
+        least = near.groupBy("a").agg(F.min(F.struct("b", "oa", "ob")).alias("m")).select(F.col("a").alias("r"), F.col("m.b").alias("p"), "m.oa", "m.ob")
+        least = keep.save(least)
+        taken = least.select(F.col("oa").alias("a"), F.col("ob").alias("b")).distinct()
+        forest = taken if forest is None else forest.unionByName(taken)
         back = least.select(F.col("r").alias("p"), F.col("p").alias("pp"))
         root = (F.col("pp") == F.col("r")) & (F.col("r") < F.col("p"))
         up = keep.save(least.join(back, "p").select("r", F.when(root, F.col("r")).otherwise(F.col("p")).alias("p")))
@@ -57,13 +67,16 @@ def components(nodes: DataFrame, links: DataFrame, keep: Scratch, max_rounds: in
                 break
         new_of = keep.save(of.join(up.select(F.col("r").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
         a, b = up.select(F.col("r").alias("a"), F.col("p").alias("pa")), up.select(F.col("r").alias("b"), F.col("p").alias("pb"))
-        l = both.join(a, "a").join(b, "b").filter("pa <> pb")
-        new_both = keep.save(l.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        l = both.join(a, "a").join(b, "b").filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "oa", "ob")
+        new_both = keep.save(l.groupBy("a", "b").agg(F.min(F.struct("oa", "ob")).alias("o")).select("a", "b", "o.oa", "o.ob"))
         keep.drop(of, both)
         of, both = new_of, new_both
-    if not both.isEmpty():
-        raise RuntimeError("the contraction did not end")
-    return of
+    return of, forest if forest is not None else links.limit(0)
+
+
+def components(nodes: DataFrame, links: DataFrame, keep: Scratch) -> DataFrame:
+    """``node, root`` alone."""
+    return spanning_forest(nodes, links, keep)[0]
 
 
 def deal(sizes: DataFrame, shares: Sequence[tuple[str, float]], seed: int = 7) -> DataFrame:
@@ -72,10 +85,15 @@ def deal(sizes: DataFrame, shares: Sequence[tuple[str, float]], seed: int = 7) -
     Components of a stratum are ordered by hash; the middle of each one's
     records in the stratum's cumulated total decides its split.
     """
-    s = sizes.withColumn("band", F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)))).cast("int"))
-    order = W.partitionBy("band").orderBy(F.xxhash64(F.lit(seed), "root"), "root")
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    at = (before + F.greatest(F.col("n"), F.lit(1)) / 2) / F.greatest(F.sum("n").over(W.partitionBy("band")), F.lit(1))
+    size = F.greatest(F.col("n"), F.lit(1))
+    s = sizes.select("root", size.alias("n"), F.floor(F.log2(size)).cast("int").alias("band"), F.xxhash64(F.lit(seed), "root").alias("h"))
+    s = s.withColumn("block", F.shiftright("h", 52))  # 4096 blocks in the hash's order
+    b = s.groupBy("band", "block").agg(F.sum("n").alias("in_block"))
+    w = W.partitionBy("band")
+    b = b.select("band", "block", F.coalesce(F.sum("in_block").over(w.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.sum("in_block").over(w).alias("all"))
+    order = W.partitionBy("band", "block").orderBy("h", "root").rowsBetween(W.unboundedPreceding, -1)
+    s = s.join(b, ["band", "block"])
+    at = (F.col("earlier") + F.coalesce(F.sum("n").over(order), F.lit(0)) + F.col("n") / 2) / F.col("all")
     s = s.withColumn("at", at)
     split = F.lit(shares[-1][0])
     for k in range(len(shares) - 2, -1, -1):

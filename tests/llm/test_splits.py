@@ -24,3 +24,53 @@ def test_deal_keeps_the_shares(spark):
     n = {r.split: r.n for r in sizes.join(d, "root").groupBy("split").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
     total = sum(n.values())
     assert abs(n["train"] / total - 0.8) < 0.02 and abs(n["test"] / total - 0.1) < 0.02
+
+
+def test_empty_and_repeated(spark):
+    none = spark.createDataFrame([], "a string, b string")
+    lone = spark.createDataFrame([("x",), ("x",), (None,)], "node string")
+    assert [tuple(r) for r in splits.components(lone, none, Scratch(spark)).collect()] == [("x", "x")]
+    d = splits.deal(spark.createDataFrame([], "root string, n long"), [("train", 0.8), ("test", 0.2)])
+    assert d.count() == 0
+
+
+def test_random_graphs_against_union_find(spark):
+    import random
+
+    rng = random.Random(2)
+    links = [(f"n{rng.randrange(300)}", f"n{rng.randrange(300)}") for _ in range(220)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    got = {r.node: r.root for r in splits.components(spark.createDataFrame([("n0",)], "node string"), spark.createDataFrame(links, "a string, b string"), Scratch(spark)).collect()}
+    nodes = {x for l in links for x in l} | {"n0"}
+    assert set(got) == nodes
+    assert all((got[a] == got[b]) == (find(a) == find(b)) for a in nodes for b in list(nodes)[:40])
+
+
+def test_the_links_taken_are_a_spanning_forest(spark):
+    import random
+
+    rng = random.Random(3)
+    links = list({tuple(sorted((f"n{rng.randrange(120)}", f"n{rng.randrange(120)}"))) for _ in range(160)})
+    of, forest = splits.spanning_forest(spark.createDataFrame([("alone",)], "node string"), spark.createDataFrame(links, "a string, b string"), Scratch(spark))
+    root = {r.node: r.root for r in of.collect()}
+    edges = [(r.a, r.b) for r in forest.collect()]
+    assert len(edges) == len(set(edges)) == len(root) - len(set(root.values()))
+    assert set(edges) <= set(links) and all(root[a] == root[b] for a, b in edges)
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        assert find(a) != find(b)  # no cycle
+        up[find(a)] = find(b)
