@@ -75,8 +75,12 @@ _PLAIN = re.compile(r"[a-zA-Z0-9\s.,;:!?'\"()\[\]{}<>=+*/\\|_#%&@$^~`-]|[^\W_]|[
 _ODD = re.compile(r"[^\w\s.,;:!?'\"()\[\]{}<>=+*/\\|#%&@$^~`’‘“”«»„…–—•·°-]")
 _VOWEL = re.compile(r"[aeiouyäöüàâéèêëîïôùûœæ]", re.I)
 
+#: A line whose mean log ratio and summed log ratio are below these is no prose,
+#: whatever else it shows.
+UNLIKE, CERTAIN = -0.15, -12.0
+
 SHAPES = ("plain", "bullet", "numbered", "pipe", "tab", "delimited", "columns", "keyed", "stamp", "code", "heading")
-SIZES = {"shape": len(SHAPES), "words": 6, "common": 6, "letters": 5, "end": 7, "order": 4, "odd": 6, "commas": 3, "place": 3}
+SIZES = {"shape": len(SHAPES), "words": 6, "common": 6, "letters": 5, "end": 7, "order": 5, "odd": 6, "commas": 3, "place": 3}
 
 
 def _bin(x: float, edges: tuple[float, ...]) -> int:
@@ -201,7 +205,8 @@ def line_symbols(lines: list[str], order: Order) -> np.ndarray:
             0 if nw < 3 else 1 + _bin(common / nw, (0.01, 0.15, 0.3, 0.5)),
             _bin(letters, (0.5, 0.75, 0.88, 0.96)),
             0 if last in ".!?…" else 1 if last == "," else 2 if last == ";" else 3 if last == ":" else 4 if last.isalpha() else 5 if last.isdigit() else 6,
-            0 if score is None else 1 + _bin(score, (0.0, 0.14)),
+            # summed over the line: disorder counts the more, the longer the line that shows it
+            0 if score is None else 1 if score < UNLIKE and score * (len(classes) - 1) < CERTAIN else 2 + _bin(score, (0.0, 0.14)),
             odd,
             0 if commas < 2 else 2 if entry_words <= 3.4 else 1,
             0 if n == 0 else 1 if body[:1].islower() and before and before[-1:] not in ".!?:;," else 2,
@@ -214,7 +219,7 @@ def seed_labels(x: np.ndarray) -> np.ndarray:
     """State by plain rules, -1 where they do not tell."""
     shape, words, common, letters, end, order, odd, commas, _ = (x[:, k] for k in range(x.shape[1]))
     y = np.full(len(x), -1)
-    prose = np.isin(shape, (0,)) & (words >= 4) & (common >= 3) & (letters >= 3) & (order != 1) & (odd == 0) & (commas < 2)
+    prose = np.isin(shape, (0,)) & (words >= 4) & (common >= 3) & (letters >= 3) & ~np.isin(order, (1, 2)) & (odd == 0) & (commas < 2)
     y[prose] = 0
     short = (shape == 0) & (words <= 3) & (letters >= 2) & (odd == 0)
     run = short & np.concatenate([[False], short[:-1]]) & np.concatenate([short[1:], [False]]) if len(x) else short
@@ -224,7 +229,7 @@ def seed_labels(x: np.ndarray) -> np.ndarray:
     y[np.isin(shape, (3, 4, 5, 6, 7)) & (common <= 2)] = 2
     y[np.isin(shape, (8, 9)) & (common <= 3)] = 3
     y[np.isin(odd, (1, 3, 4, 5))] = 3
-    y[(order == 1) & (words == 5) & (letters >= 3) & (commas == 0) & (shape == 0)] = 3
+    y[np.isin(order, (1, 2)) & (words == 5) & (letters >= 3) & (commas == 0) & (shape == 0)] = 3
     return y
 
 
@@ -240,7 +245,7 @@ def _prior() -> list[np.ndarray]:
         t([6, 1, 5, 15, 38, 35], [40, 24, 8, 16, 10, 2], [60, 34, 3, 2, 0.7, 0.3], [45, 28, 6, 6, 6, 9]),
         t([0.3, 0.7, 5, 30, 64], [2, 8, 20, 30, 40], [46, 34, 14, 4, 2], [32, 24, 14, 8, 22]),
         t([46, 5, 1, 1, 44, 2, 1], [18, 14, 14, 1, 42, 10, 1], [1, 1, 3, 3, 12, 55, 25], [6, 3, 2, 6, 40, 22, 21]),
-        t([10, 2, 13, 75], [86, 5, 5, 4], [80, 8, 8, 4], [62, 32, 4, 2]),
+        t([10, 0.4, 1.6, 13, 75], [86, 2, 3, 5, 4], [80, 4, 4, 8, 4], [62, 26, 6, 4, 2]),
         t([98.6, 0.3, 0.3, 0.3, 0.2, 0.3], [96, 1, 2, 0.5, 0.2, 0.3], [95, 2, 2, 0.4, 0.3, 0.3], [38, 20, 14, 12, 12, 4]),
         t([70, 28, 2], [74, 2, 24], [60, 5, 35], [90, 4, 6]),
         t([20, 45, 35], [8, 28, 64], [8, 10, 82], [8, 20, 72]),
@@ -260,6 +265,7 @@ class LineModel:
     def _logs(self):
         log = lambda a: np.log(a / a.sum(-1, keepdims=True))
         self.log_e, self.log_m, self.log_s = [log(e) for e in self.emission], log(self.moves), log(self.start)
+        self.log_e[list(SIZES).index("order")][0, 1] += CERTAIN  # at least the ratio the line itself shows
 
     def fit(self, docs: list[np.ndarray]) -> LineModel:
         """Add the frequencies of the lines that the rules label."""

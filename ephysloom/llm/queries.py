@@ -179,9 +179,9 @@ def p9_found(spark, sf):
 
 
 _P9 = r"""
-with c as (select distinct word from common_words), w as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '\p{L}+') as ws, list_filter(string_split(coalesce(text, ''), chr(10)), x -> trim(regexp_replace(x, '\s', ' ', 'g')) <> '') as ls from documents)
+with c as (select list(distinct word) as cw from common_words), w as (select cw, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '\p{L}+') as ws, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(regexp_replace(x, '\s', ' ', 'g')) <> '') as ls from documents cross join c)
 select doc_id, cast(len(ws) as bigint) as n_words, round(length(regexp_replace(t, '\P{L}', '', 'g')) / nullif(len(ws), 0), 6) as mean_word_len, round(length(regexp_replace(t, '[\p{L}\p{N}\s]', '', 'g')) / nullif(length(t), 0), 6) as symbol_share,
-  round(len(list_filter(ls, x -> regexp_matches(x, '[.!?…]\s*$'))) / nullif(len(ls), 0), 6) as punct_line_share, round(len(list_filter(ws, x -> list_contains((select list(word) from c), lower(x)))) / nullif(len(ws), 0), 6) as common_share from w
+  round(len(list_filter(ls, lambda x: regexp_matches(x, '[.!?…]\s*$'))) / nullif(len(ls), 0), 6) as punct_line_share, round(len(list_filter(ws, lambda x: list_contains(cw, lower(x)))) / nullif(len(ws), 0), 6) as common_share from w
 """
 
 
