@@ -469,3 +469,82 @@ def candidates_nearest_centroid(spark, sf):
     s = m.join(F.broadcast(c), "label").withColumn("cosine", A.dot(F.col("a"), F.col("c")) / (A.norm(F.col("a")) * A.norm(F.col("c"))))  # one row a cluster
     r = s.withColumn("no", F.row_number().over(W.partitionBy("label").orderBy(F.desc("cosine"), "vec_id")))
     return r.filter("no <= 3").select("label", F.col("no").cast("long").alias("no"), "vec_id", F.round("cosine", 6).alias("cosine"))
+
+
+DRAWS = 25
+
+
+@query(
+    "size_matched_null",
+    f"""with {EM}, it as (select electrode, min(patient) as patient, min(label) as label from em group by electrode), n as (select label, count(*) as n, count(distinct patient) as pats from it group by all), d as (select unnest(range(0, {DRAWS})) as d),
+    r as (select d, patient, row_number() over (partition by d order by {uniform_sql('matched', 'd', 'electrode')}, electrode) as rn from it cross join d),
+    c as (select label, d, patient, count(*) as c from n join r on rn <= n group by all), s as (select label, d, count(*) as pats, max(c) / sum(c) as top from c group by all)
+    select label, n.n, n.pats as n_patients, round(avg(s.pats), 6) as null_patients, round(avg(top), 6) as null_share from n join s using (label) group by all""",
+)
+def size_matched_null(spark, sf):
+    """Patients and top share of as many electrodes drawn without replacement."""
+    it = maps(spark, sf).groupBy("electrode").agg(F.min("patient").alias("patient"), F.min("label").alias("label"))
+    n = it.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("patient").alias("n_patients"))
+    r = it.select("electrode", "patient", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("d"))
+    r = r.withColumn("rn", F.row_number().over(W.partitionBy("d").orderBy(uniform("matched", F.col("d"), F.col("electrode")), "electrode")))
+    c = r.join(F.broadcast(n), F.col("rn") <= F.col("n")).groupBy("label", "n", "n_patients", "d", "patient").agg(F.count(F.lit(1)).alias("c"))  # one row a cluster
+    s = c.groupBy("label", "n", "n_patients", "d").agg(F.count(F.lit(1)).alias("p"), (F.max("c") / F.sum("c")).alias("top"))
+    return s.groupBy("label", "n", "n_patients").agg(F.round(F.avg("p"), 6).alias("null_patients"), F.round(F.avg("top"), 6).alias("null_share"))
+
+
+ROLLS = 29
+
+
+@query(
+    "shaft_shift_null",
+    f"""with {EM}, x as (select vec_id, (vec_id // 3) % 40 as shaft, label, cast(embedding[1] as double) as y, row_number() over (partition by (vec_id // 3) % 40 order by vec_id) - 1 as i, count(*) over (partition by (vec_id // 3) % 40) as n from em),
+    k as (select unnest(range(0, {ROLLS + 1})) as k), m as (select k, x.shaft, x.label, case when k = 0 then x.i else (x.i + cast(floor({uniform_sql('roll', 'k', 'x.shaft')} * x.n) as bigint)) % x.n end as j from x cross join k),
+    r as (select k, corr(m.label, x.y) as r from m join x on x.shaft = m.shaft and x.i = m.j group by all)
+    select round(max(case when k = 0 then r end), 6) as observed, round(avg(r) filter (k > 0), 6) as null_mean, round((max(case when k = 0 then r end) - avg(r) filter (k > 0)) / stddev_samp(r) filter (k > 0), 4) as z from r""",
+)
+def shaft_shift_null(spark, sf):
+    """A correlation against labels rotated along each shaft by a random offset."""
+    w = W.partitionBy("shaft")
+    x = maps(spark, sf).select("vec_id", (F.col("electrode") % 40).alias("shaft"), F.col("label").cast("double").alias("label"), F.get("a", F.lit(0)).alias("y"))
+    x = x.withColumn("i", F.row_number().over(w.orderBy("vec_id")).cast("long") - 1).withColumn("n", F.count(F.lit(1)).over(w))
+    m = x.select("shaft", "label", "i", "n", F.explode(F.sequence(F.lit(0), F.lit(ROLLS))).alias("k"))
+    by = F.floor(uniform("roll", F.col("k"), F.col("shaft")) * F.col("n"))
+    m = m.select("k", "shaft", "label", F.when(F.col("k") == 0, F.col("i")).otherwise((F.col("i") + by) % F.col("n")).alias("i"))
+    r = m.join(x.select("shaft", "i", "y"), ["shaft", "i"]).groupBy("k").agg(F.corr("label", "y").alias("r"))
+    o, null = F.max(F.when(F.col("k") == 0, F.col("r"))), F.when(F.col("k") > 0, F.col("r"))
+    return r.agg(F.round(o, 6).alias("observed"), F.round(F.avg(null), 6).alias("null_mean"), F.round((o - F.avg(null)) / F.stddev_samp(null), 4).alias("z"))
+
+
+@query(
+    "reference_cluster",
+    """with c as (select distinct on (timing_id) condition_name as c, timing_id % 12 as cluster, onset_lat as y from timing where isfinite(onset_lat) and condition_name is not null order by timing_id, ingested_at desc),
+    m as (select cluster, c, avg(y) as y, count(*) as n from c where y < 0.9 group by all having avg(y) < 0.55), w as (select cluster, max(case when c = 'audio' then y end) as audio, max(case when c = 'picture' then y end) as picture, max(case when c = 'reading' then y end) as reading from m group by all)
+    select coalesce(arg_min(cluster, (audio, cluster)) filter (audio is not null and picture is null and reading is null), arg_min(cluster, (audio, cluster)) filter (audio is not null)) as cluster, count(*) filter (audio is not null and picture is null and reading is null) as n_strict, count(*) filter (audio is not null) as n_relaxed from w""",
+)
+def reference_cluster(spark, sf):
+    """The earliest cluster active for sound alone, else the earliest active for sound."""
+    t = table(spark, sf, "timing").filter(F.col("onset_lat").isNotNull() & ~F.isnan("onset_lat") & (F.abs("onset_lat") != float("inf")) & F.col("condition_name").isNotNull())
+    t = t.groupBy("timing_id").agg(F.max_by(F.struct("condition_name", "onset_lat"), "ingested_at").alias("b")).select((F.col("timing_id") % 12).alias("cluster"), F.col("b.condition_name").alias("c"), F.col("b.onset_lat").alias("y"))
+    m = t.filter("y < 0.9").groupBy("cluster", "c").agg(F.avg("y").alias("y")).filter("y < 0.55")
+    w = m.groupBy("cluster").pivot("c", ["audio", "picture", "reading"]).agg(F.max("y"))
+    strict = F.col("audio").isNotNull() & F.col("picture").isNull() & F.col("reading").isNull()
+    first = lambda ok: F.min_by(F.when(ok, F.col("cluster")), F.when(ok, F.struct("audio", "cluster")))
+    return w.agg(F.coalesce(first(strict), first(F.col("audio").isNotNull())).alias("cluster"), F.count(F.when(strict, 1)).alias("n_strict"), F.count("audio").alias("n_relaxed"))
+
+
+@query(
+    "consensus_placement",
+    f"""with {_CP}, p as (select electrode as item, min(patient) as patient, min(label) as label from em group by all), b as (select i, j, together / sampled as c from cp union all select j, i, together / sampled from cp),
+    a as (select x.patient, avg(c) as consensus from b join p x on x.item = i group by all), q as (select patient, avg((label < 5)::int) as placed from p group by all), m as (select * from a join q using (patient)),
+    r as (select rank() over (order by consensus) + (count(*) over (partition by consensus) - 1) / 2.0 as ra, rank() over (order by placed) + (count(*) over (partition by placed) - 1) / 2.0 as rb from m)
+    select count(*) as n, round(case when count(*) >= 5 then corr(ra, rb) end, 6) as rho from r""",
+)
+def consensus_placement(spark, sf):
+    """Rank correlation of the patients' mean consensus with their share placed."""
+    p = C.consensus(_draws(spark, sf), "run", "item", "c")
+    who = maps(spark, sf).groupBy(F.col("electrode").alias("item")).agg(F.min("patient").alias("patient"), F.min("label").alias("label"))
+    b = p.select(F.explode(F.array("i", "j")).alias("item"), "consensus").join(who, "item")
+    a = b.groupBy("patient").agg(F.avg("consensus").alias("consensus"))
+    q = who.groupBy("patient").agg(F.avg((F.col("label") < 5).cast("double")).alias("placed"))
+    m = R.average_rank(R.average_rank(a.join(q, "patient"), [], "consensus", "ra"), [], "placed", "rb")
+    return m.agg(F.count(F.lit(1)).alias("n"), F.round(F.when(F.count(F.lit(1)) >= 5, F.corr("ra", "rb")), 6).alias("rho"))
