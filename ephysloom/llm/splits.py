@@ -11,8 +11,8 @@ are logarithmic in their number, whatever the shape of the graph.  The edges
 taken are written each round, in terms of the nodes they join: together they are
 a spanning forest, from which every shared split can be explained.
 
-Components are dealt to the splits in strata of like size: within a stratum
-they are ordered by a hash, and each takes the split its place in the
+The few components that hold a large share of the records are dealt one by one;
+all others are dealt to the splits in strata of like size: within a stratum they are ordered by a hash, and each takes the split its place in the
 cumulated records falls into.  The cumulated counts are formed within blocks of
 the hash and carried from block to block, so a stratum of any number of
 components (most are single records) is dealt in many tasks.
@@ -79,15 +79,30 @@ def components(nodes: DataFrame, links: DataFrame, keep: Scratch) -> DataFrame:
     return spanning_forest(nodes, links, keep)[0]
 
 
-def deal(sizes: DataFrame, shares: Sequence[tuple[str, float]], seed: int = 7) -> DataFrame:
-    """``root, split`` from ``root, n``: strata by the power of two of ``n``.
+def deal(sizes: DataFrame, shares: Sequence[tuple[str, float]], seed: int = 7, large: float = 0.002) -> DataFrame:
+    """``root, split`` from ``root, n``.
 
-    Components of a stratum are ordered by hash; the middle of each one's
-    records in the stratum's cumulated total decides its split.
+    Components with at least ``large`` of all records (at most ``1 / large``) are
+    dealt first, the largest first, each to the split that lacks most: no place in
+    an order can balance them.  The rest fills what the splits still lack, in
+    strata by the power of two of ``n``: ordered by hash, the middle of each
+    one's records in the stratum's cumulated total decides its split.
     """
-    size = F.greatest(F.col("n"), F.lit(1))
+    size = F.greatest(F.coalesce("n", F.lit(1)), F.lit(1)).cast("long")
     s = sizes.select("root", size.alias("n"), F.floor(F.log2(size)).cast("int").alias("band"), F.xxhash64(F.lit(seed), "root").alias("h"))
-    s = s.withColumn("block", F.shiftright("h", 52))  # 4096 blocks in the hash's order
+    total = s.agg(F.sum("n")).first()[0] or 0
+    least = max(2.0, large * total)
+    heads = s.filter(F.col("n") >= least).select("root", "n", "h").collect()  # at most 1 / large rows
+    lack = [share * total for _, share in shares]
+    dealt = []
+    for h in sorted(heads, key=lambda x: (-x["n"], x["h"], x["root"])):
+        k = max(range(len(lack)), key=lambda i: (lack[i], -i))
+        lack[k] -= h["n"]
+        dealt.append((h["root"], shares[k][0]))
+    lack = [max(x, 0.0) for x in lack]
+    ends = [sum(lack[: k + 1]) / (sum(lack) or 1.0) for k in range(len(lack))]
+
+    s = s.filter(F.col("n") < least).withColumn("block", F.shiftright("h", 52))  # 4096 blocks in the hash's order
     b = s.groupBy("band", "block").agg(F.sum("n").alias("in_block"))
     w = W.partitionBy("band")
     b = b.select("band", "block", F.coalesce(F.sum("in_block").over(w.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"), F.sum("in_block").over(w).alias("all"))
@@ -97,5 +112,8 @@ def deal(sizes: DataFrame, shares: Sequence[tuple[str, float]], seed: int = 7) -
     s = s.withColumn("at", at)
     split = F.lit(shares[-1][0])
     for k in range(len(shares) - 2, -1, -1):
-        split = F.when(F.col("at") < sum(x for _, x in shares[: k + 1]), F.lit(shares[k][0])).otherwise(split)
-    return s.select("root", split.alias("split"))
+        split = F.when(F.col("at") < ends[k], F.lit(shares[k][0])).otherwise(split)
+    rest = s.select("root", split.alias("split"))
+    if not dealt:
+        return rest
+    return rest.unionByName(sizes.sparkSession.createDataFrame(dealt, sizes.select("root", F.lit("").alias("split")).schema))

@@ -74,3 +74,13 @@ def test_the_links_taken_are_a_spanning_forest(spark):
     for a, b in edges:
         assert find(a) != find(b)  # no cycle
         up[find(a)] = find(b)
+
+
+def test_large_components_are_balanced(spark):
+    rows = [("hot", 450), *[(f"m{i}", 40 + i) for i in range(30)], *[(f"s{i}", 1) for i in range(1500)], (None, 1)]
+    sizes = spark.createDataFrame([(r, n, "x") for r, n in rows], "root string, n long, split string")
+    got = splits.deal(sizes, [("train", 0.8), ("validation", 0.1), ("test", 0.1)]).collect()
+    assert sorted(r.root or "" for r in got) == sorted(r or "" for r, _ in rows)
+    of, total = dict(rows), sum(n for _, n in rows)
+    for name, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
+        assert abs(sum(of[r.root] for r in got if r.split == name) / total - share) < 0.01
