@@ -308,10 +308,7 @@ def nearest_vertex(spark, sf):
 )
 def knn_other_patients(spark, sf):
     """Share of the three nearest neighbours of other patients (within 9 mm) with the same region."""
-    c = contacts(spark, sf).select("patient", "contact", "network", "x", "y", "z")
-    q = c.select(F.col("patient").alias("op"), F.col("contact").alias("oc"), F.col("network").alias("other"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    j = S.within(c, q, 9.0).filter("patient <> op")
-    r = j.withColumn("rn", F.row_number().over(W.partitionBy("patient", "contact").orderBy("d", "op", "oc"))).filter("rn <= 3 and network is not null and other is not null")
+    r = S.nearest_others(contacts(spark, sf), "patient", "contact", "network", 3, 9.0).filter("network is not null and other is not null")
     return r.groupBy("network").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("network") == F.col("other")).cast("double")), 9).alias("same_share"))
 
 
