@@ -15,6 +15,16 @@ import numpy as np
 LEAF, CELLS = 64, 1 << 20
 
 
+def limit(radius: float) -> float:
+    """The largest square whose root is at most ``radius``."""
+    q = radius * radius
+    while np.sqrt(q) > radius:
+        q = np.nextafter(q, 0)
+    while np.sqrt(np.nextafter(q, np.inf)) <= radius:
+        q = np.nextafter(q, np.inf)
+    return float(q)
+
+
 def _first_of(*cols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by the columns (the last one first), and where a new value begins in it."""
     o = np.lexsort(cols)
@@ -54,6 +64,53 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
+def _owners_in_reach(a: np.ndarray, owner: np.ndarray, c: np.ndarray, most: float) -> np.ndarray:
+    """For each of ``c`` the number of owners with a row of ``a`` in reach; ``owner`` is sorted."""
+    start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    n = np.diff(np.r_[start, len(owner)])
+    g = np.argsort(-n, kind="stable")
+    start, n = start[g], n[g]
+    # every owner's first row, then the second of those that have two, and so on: each part lies over the first owners
+    parts = [start[: int(np.searchsorted(-n, -t))] + t for t in range(int(n[0]))]
+    a = a.take(np.concatenate(parts), axis=1)
+    hit = np.empty((a.shape[1], c.shape[1]), bool)
+    step = max(1, (1 << 14) // c.shape[1])
+    for i in range(0, len(hit), step):
+        np.less_equal(_squares(a[:, i : i + step], c), most, out=hit[i : i + step])
+    at = len(parts[0])
+    for p in parts[1:]:
+        hit[: len(p)] |= hit[at : at + len(p)]
+        at += len(p)
+    return hit[: len(parts[0])].view(np.uint8).sum(axis=0, dtype=np.int64)
+
+
+def other_owners(x: np.ndarray, owner: np.ndarray, asked: np.ndarray, radius: float) -> np.ndarray:
+    """For each asked row the number of other owners with a row at most
+    ``radius`` away; ``x`` has a line for each axis.
+    """
+    rows = np.flatnonzero(asked)
+    o, new = _first_of(*x[:, rows])
+    place = np.empty(len(rows), int)
+    place[o] = np.cumsum(new) - 1
+    at = x[:, rows[o[new]]]
+    o, new = _first_of(*x, owner)  # each owner once at a place, by owner
+    cx, co = x[:, o[new]], owner[o[new]]
+    got, most = np.zeros(at.shape[1], np.int64), limit(radius)
+    todo = [(np.arange(len(got)), np.arange(len(co)))] if len(got) else []
+    while todo:
+        c, k = todo.pop()
+        lo, hi = _box(at, c)
+        k = _near(cx, k, lo, hi, radius)
+        if len(c) > LEAF or (len(c) > 1 and len(c) * len(k) > 16 * CELLS):
+            todo += [(h, k) for h in _halves(at, c, lo, hi)]
+            continue
+        a = cx.take(k, axis=1)
+        out = np.maximum(np.maximum(lo[:, None] - a, a - hi[:, None]), 0)
+        in_reach = (out * out).sum(axis=0) <= most * (1 + 1e-6)  # of the box; the corners are not
+        got[c] = _owners_in_reach(a[:, in_reach], co[k[in_reach]], at[:, c], most)
+    return got[place] - 1  # its own owner is always in reach
+
+
 def nearest_others(x: np.ndarray, owner: np.ndarray, asked: np.ndarray, k: int, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Row, neighbour, distance and rank (from 1) of the ``k`` nearest rows of
     other owners, at most ``radius`` away; ``x`` has a line for each axis.  Ties

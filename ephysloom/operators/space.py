@@ -1,8 +1,8 @@
 """Positions: radius joins, neighbours, lattices and surfaces.
 
 Range joins in space are equi-joins on cubes as wide as the radius: a point is
-looked up from the 27 cubes around the other.  Where only the nearest are asked
-for, blocks of space go to a numpy kernel instead, for the pairs grow
+looked up from the 27 cubes around the other.  Where only counts or the nearest
+are asked for, blocks of space go to a numpy kernel instead, for the pairs grow
 with the square of the points.  A point without all coordinates takes part in
 nothing.
 """
@@ -72,6 +72,22 @@ def _type(df: DataFrame, c: str) -> str:
     return df.schema[c].dataType.simpleString()
 
 
+def other_owners(points: DataFrame, owner: str, key: str, radius: float) -> DataFrame:
+    """``owner, key, n``: the number of other owners with a point at most
+    ``radius`` away, for the points that have any.
+
+    ``points`` has one row per owner and key, and x, y, z.  Pairs are counted in
+    numpy and never become rows.
+    """
+
+    def count(t: pa.Table, x: np.ndarray, codes: np.ndarray, asked: np.ndarray) -> pa.Table:
+        n = neighbours.other_owners(x, codes, asked, radius)
+        own = t.select([owner, key]).take(pa.array(np.flatnonzero(asked)[n > 0]))
+        return own.append_column("n", pa.array(n[n > 0]))
+
+    return _in_blocks(points.select(owner, key, "x", "y", "z"), owner, key, radius, count, f"`{owner}` {_type(points, owner)}, `{key}` {_type(points, key)}, n long")
+
+
 def nearest_others(points: DataFrame, owner: str, key: str, value: str, k: int, radius: float) -> DataFrame:
     """``owner, key, value, other, d, rank``: the ``k`` nearest points of other
     owners at most ``radius`` away, with their ``value`` as ``other``.

@@ -315,10 +315,7 @@ def knn_other_patients(spark, sf):
 @query("other_patients_within", f"with {_CON} select a.patient, a.contact, count(distinct b.patient) as n_others from con a join con b on a.patient <> b.patient and abs(a.x - b.x) <= 6 and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 6 group by all")
 def other_patients_within(spark, sf):
     """Other patients with a contact within 6 mm."""
-    c = contacts(spark, sf).select("patient", "contact", "x", "y", "z")
-    q = c.select(F.col("patient").alias("op"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.col("z").alias("cz"))
-    j = S.within(c, q, 6.0).filter("patient <> op")
-    return j.select("patient", "contact", "op").distinct().groupBy("patient", "contact").agg(F.count(F.lit(1)).alias("n_others"))
+    return S.other_owners(contacts(spark, sf), "patient", "contact", 6.0).withColumnRenamed("n", "n_others")
 
 
 @query(

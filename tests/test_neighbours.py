@@ -33,6 +33,20 @@ def test_nearest_others_against_every_pair():
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_other_owners_against_every_pair():
+    rng = np.random.default_rng(8)
+    for case in range(24):
+        x, owner, asked = some_points(rng, case)
+        got = neighbours.other_owners(x, owner, asked, 6.0)
+        assert got.tolist() == [len(set(owner[distances(x, i) <= 6]) - {owner[i]}) for i in np.flatnonzero(asked)]
+
+
+def test_limit_is_where_the_root_ends():
+    for r in (6.0, 0.1, 3.3, 1e-9, 1e9):
+        q = neighbours.limit(r)
+        assert math.sqrt(q) <= r < math.sqrt(math.nextafter(q, math.inf))
+
+
 def crowd(spark, path, n=4000, patients=200):
     """Contacts crowded into 12 mm across a block's border, and odd ones."""
     rng = np.random.default_rng(7)
@@ -63,6 +77,16 @@ def test_knn_of_a_crowd_makes_no_pairs(spark, tmp_path):
     assert not makes_pairs(df)
 
 
+def test_other_patients_of_a_crowd_makes_no_pairs(spark, tmp_path):
+    rows = crowd(spark, tmp_path)
+    x, owner = np.array([r[2:5] for r in rows]).T, np.array([r[0] for r in rows])
+    want = {r[:2]: n for i, r in enumerate(rows) if (n := len({*owner[distances(x, i) <= 6]} - {r[0]}))}
+    df = entry.queries()["other_patients_within"](spark, str(tmp_path))
+    assert {(r.patient, r.contact): r.n_others for r in df.collect()} == want
+    assert ("Q6", "B1") in want and ("Q8", "B1") not in want  # 6 mm is within
+    assert not makes_pairs(df)
+
+
 def test_nearest_others_of_nothing(spark):
     p = spark.createDataFrame([("a", "1", 0.0, 0.0, 0.0, 5), ("a", "2", 0.0, 0.0, 1.0, 6)], "o string, k string, x double, y double, z double, v int")
     got = space.nearest_others(p, "o", "k", "v", 2, 3.0)
